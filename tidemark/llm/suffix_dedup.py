@@ -322,11 +322,27 @@ class HashedSuffixes:
 
 def compared_contexts(groups: np.ndarray, ids, nth, place, left, right, context) -> tuple[np.ndarray, ...]:
     """Spans of contexts' strings that an earlier context has too: (group, id, nth, start, end)."""
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    time = np.lexsort((place, nth, ids))  # contexts from the earliest on
+    groups, ids, nth, place, left, right, context = (x[time] for x in (groups, ids, nth, place, left, right, context))
+    marked = np.concatenate((context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
+    first = np.zeros(len(ids), bool)
+    first[np.unique(marked.view(f"V{WIDTH + 2}")[:, 0], return_index=True)[1]] = True
+    whole_ = tuple(x[~first] for x in (groups, ids, nth, place - left, place + right))
+    # Anchors with one context have no more copies.
+    _, anchor, count = np.unique(np.ascontiguousarray(context[:, BEFORE:LENGTH]).view(f"V{GRAM}")[:, 0], return_inverse=True, return_counts=True)
+    several = np.bincount(anchor[first], minlength=len(count))[anchor] > 1
+    few = np.flatnonzero(first & several)
+    if not len(few):
+        return whole_
+    found = _distinct_contexts(*(x[few] for x in (groups, ids, nth, place, left, right, context)))
+    return tuple(np.concatenate(x) for x in zip(whole_, found, strict=True))
+
+
+def _distinct_contexts(groups, ids, nth, place, left, right, context) -> tuple[np.ndarray, ...]:
+    """compared_contexts for contexts in order of time that all differ, of anchors with more than one."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(ids) < 2:
-        return none
     order, shared = HashedSuffixes(np.ascontiguousarray(context[:, BEFORE:])).sorted()
-    # Anchors that stand alone by now have no copies.
     run = np.cumsum(shared < GRAM)
     keep = np.bincount(run)[run] > 1
     if not keep.any():
@@ -338,10 +354,10 @@ def compared_contexts(groups: np.ndarray, ids, nth, place, left, right, context)
     shared_kept[np.flatnonzero(np.diff(at) > 1) + 1] = 0  # what lay between was another anchor
     number = np.cumsum(kept) - 1
     right_order = number[order[keep]]
-    groups, ids, nth, place, left, right, context = (x[kept] for x in (groups, ids, nth, place, left.astype(np.int64), right.astype(np.int64), context))
+    groups, ids, nth, place, left, right, context = (x[kept] for x in (groups, ids, nth, place, left, right, context))
     left_order, left_shared = HashedSuffixes(np.ascontiguousarray(context[:, :BEFORE][:, ::-1])).sorted()
     n = len(ids)
-    time = np.lexsort((place, nth, ids))  # contexts from the earliest on
+    time = np.arange(n)
     most, least = np.full(n, -1), np.full(n, LENGTH)
     by_right, by_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for back in range(BEFORE + 1):
@@ -412,7 +428,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = partitions(spark)
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_groups = max(-(-total // GROUP_BYTES), min(2 * own, -(-total // LEAST_BYTES)), 1)
+    n_groups = max(-(-total // GROUP_BYTES), min(own, -(-total // LEAST_BYTES)), 1)
     tasks = max(1, min(2 * own, n_groups))
     texts = df.select(F.col(id_col).cast("long").alias("_id"), data.alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_groups)).cast("int").alias("_group"))
 
