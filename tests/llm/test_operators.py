@@ -185,7 +185,7 @@ def test_suffix_sort_survives_hash_collisions(monkeypatch):
 
 PII = [
     "write to a.b+c@mail.example.com, or x@@y.z@w.org!", "1.2.3.4.5.6.7.8 300.1.1.1 01.02.03.004", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "call +1 (555) 123-4567 or +12", "no data", "@", "a@b a@b.c",
-    "1" * 5000 + ".1.1.1", "a" * 20000, "+" * 300 + "1234567890", "9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9", "é a@é.com b@c.de😀",
+    "1" * 4000 + ".1.1.1", "a" * 20000, "+" * 300 + "1234567890", "9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9 9", "é a@é.com b@c.de😀",
 ]
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, row_key, whole
+from tidemark.llm.common import durable, partitions, row_key, whole
 
 BLOCK_BYTES = 8192
 
@@ -79,6 +79,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     names = document_names(df, id_col, text_col, block_bytes)
     groups = names.groupBy("_blocks", "_name").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
+    # Kept apart from the join, whose sides can then both be split where a group is hot.
+    groups = durable(groups.repartition(partitions(df.sparkSession)))
     return names.join(groups, ["_blocks", "_name"]).select(
         F.col("_id").alias(id_col),
         F.col("_keep._id").alias("keep_id"),

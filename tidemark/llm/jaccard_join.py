@@ -113,7 +113,7 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def chosen_paths(nodes: DataFrame, paths: DataFrame | None, runs: int) -> DataFrame:
     """(path, node) of the children that nodes enter: from the roots of all runs, or from given (path, node)."""
     threshold = np.uint64(int(2**64 / (SIMILARITY * SKETCH)))
-    place = seeds(SKETCH + 1)[1:]
+    place, from_roots = seeds(SKETCH + 1)[1:], paths is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +121,7 @@ def chosen_paths(nodes: DataFrame, paths: DataFrame | None, runs: int) -> DataFr
                 part = batch.slice(a, 4096)
                 node = part.column(0).to_numpy()
                 tokens = mixed(np.stack([np.frombuffer(s.as_py(), np.uint32) for s in part.column(1)]).astype(np.uint64) + place)
-                starts = [np.full(len(node), x, np.uint64) for x in seeds(runs)] if paths is None else [part.column(2).to_numpy().view(np.uint64)]
+                starts = [np.full(len(node), x, np.uint64) for x in seeds(runs)] if from_roots else [part.column(2).to_numpy().view(np.uint64)]
                 for start in starts:
                     h = mixed(tokens ^ start[:, None])
                     i, j = np.nonzero(h < threshold)

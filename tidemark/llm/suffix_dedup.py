@@ -226,9 +226,11 @@ def cut_contexts(docs: Docs, group: int, tasks: int, known: np.ndarray, hot: np.
         begin = (place[w][i] + o - BEFORE).astype(np.int32)
         order = np.lexsort((begin, nth[w][i], ids[w][i], h2, h1))
         h1, h2, begin, i = h1[order], h2[order], begin[order], w[i[order]]
-        same = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
+        keep = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        # A string may have several anchors; in its own place it is no copy.
+        first = np.flatnonzero(keep)[np.cumsum(keep) - 1]
+        same = (ids[i] != ids[i[first]]) | (nth[i] != nth[i[first]]) | (begin != begin[first])
         spans.append((ids[i[same]], nth[i[same]], begin[same], begin[same] + LENGTH))
-        keep = ~same
         for to, arrays in _by((h1[keep] % np.uint64(tasks)).astype(np.int64), h1[keep], h2[keep], ids[i[keep]], nth[i[keep]], begin[keep]):
             out.append((to, group, 2, pack(*arrays)))
     cold = ~warm
@@ -294,8 +296,10 @@ class HashedSuffixes:
                 low[open_[before]] = mid[before] + 1
                 high[open_[~before]] = mid[~before]
             to = place - np.where(right, run, 0) + (low - start)
-            merged = np.empty_like(order)
+            merged = np.full(n, -1)
             merged[to] = order
+            if (merged < 0).any():
+                break  # colliding hashes contradict each other
             order, run = merged, 2 * run
         shared = np.zeros(n, np.int64)
         if n > 1:
