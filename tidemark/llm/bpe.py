@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import whole
 
@@ -241,14 +242,20 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
     if out in df.columns:
         raise ValueError(f"{out} is a column already")
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts):
-        import pandas as pd
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-        bpe, values = tokenizer(path), [t or "" for t in texts]
-        return pd.Series([ids for a, b in slices(values) for ids in bpe.encode(values[a:b])], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for batch in batches:
+            values = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in slices(values):
+                ids = bpe.encode(values[a:b])
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, out])
 
-    return df.withColumn(out, ids_of(whole(text_col)))
+    return df.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
