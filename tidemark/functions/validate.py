@@ -128,15 +128,17 @@ def record_reason(version: Column, subject_ok: Column, is_tomb: Column, e: Colum
     return F.coalesce(head, F.when(~is_tomb, body))
 
 
-def app_reason(slug: str, contract: str, name: str, template: str) -> str | None:
+def app_reason(slug: str, contract_id: str, name: str, link_template: str) -> str | None:
     """First broken rule of a registered app; a registry has 64 rows at most, so this is plain Python."""
     import re
 
+    template = link_template
+
     if not re.fullmatch(rf"[a-z0-9-]{{1,{MAX_APP_SLUG}}}", slug):
         return "app slug"
-    if len(contract) not in (43, 44):
+    if len(contract_id) not in (43, 44):
         return "contract id length"
-    if not re.fullmatch(f"{BASE58_RUN}+", contract):
+    if not re.fullmatch(f"{BASE58_RUN}+", contract_id):
         return "contract id charset"
     if not re.fullmatch(rf"[ !#-\[\]-~]{{1,{MAX_APP_NAME}}}", name):
         return "app name"
