@@ -46,6 +46,9 @@ def test_bpe_is_the_librarys(spark, odd, docs):
         assert by_text(map(tuple, bpe.bpe_round_trip(df, Q.TOKENIZER).collect())) == by_text(want)
     again = bpe.bpe_decode(bpe.bpe_encode(odd, Q.TOKENIZER), Q.TOKENIZER).collect()
     assert all(r.decoded == (r.text or "") for r in again)
+    few = bpe.bpe_encode(odd, Q.TOKENIZER, keep=["doc_id"])
+    assert few.columns == ["doc_id", "ids"]
+    assert sorted((str(r.doc_id), r.ids) for r in few.collect()) == sorted((str(r.doc_id), r.ids) for r in again)
 
 
 def test_exact_dedup(spark, odd, sf_dir):

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import whole
+from tidemark.llm.common import small_batches, whole
 
 # Fixed values of the public byte-level pre-tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text that are walked as one trie; bounds a worker's memory.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 #: Words that a worker remembers from batch to batch.
 KEPT_WORDS = 100_000
 
@@ -233,27 +233,30 @@ def slices(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[i
         yield start, len(texts)
 
 
-def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `out`, an array<int> of token ids of the whole text, in one pass without a shuffle.
 
     Null and empty texts give an empty array; repeated rows give equal arrays; an empty table
-    gives an empty table. Other columns pass through; `out` must be a new name.
+    gives an empty table. The columns of `keep` pass through, all if it is None; others are
+    neither read nor sent back by the workers. `out` must be a new name.
     """
-    if out in df.columns:
+    keep = df.columns if keep is None else keep
+    if out in keep:
         raise ValueError(f"{out} is a column already")
 
-    at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    small_batches(df.sparkSession)
+    df = df.select(*(f"`{c}`" for c in keep), F.col(text_col).alias("_whole"))
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            values = [t or "" for t in batch.column(at).to_pylist()]
+            values = [t or "" for t in batch.column(len(keep)).to_pylist()]
             for a, b in slices(values):
                 ids = bpe.encode(values[a:b])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], lists], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 
@@ -294,5 +297,6 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     decoded.append(sha(bpe.decode(ids).encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(df.sparkSession)
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return df.select(F.col(id_col), whole(text_col).alias("_text")).mapInArrow(run, schema)

@@ -31,6 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Arrow batches to Python workers hold about `most` bytes; a longer text is a batch of its own.
+
+    It is a setting of the session, read as a query is planned to run. Batches by row count alone
+    would hold tens of MB of long texts, several times over on their way to a worker and back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(name, str(most))
+
+
 def whole(text: str | Column) -> Column:
     """A text column as it is read by every operator here: null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
