@@ -31,8 +31,6 @@ DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
 #: Words on either side of an entity whose terms are judged.
 NEAR_CHARS = 80
-#: Candidate terms that are sent to all tasks; beyond this number they are joined by shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -146,13 +144,12 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = scanned.select("_row", F.explode("near").alias("x")).select("_row", "x.*")
     pairs = hits.groupBy("entity", "term").agg(F.count_distinct("mark").alias("contexts"), F.count_distinct("_row").alias("both")).where(F.col("contexts") >= surroundings)
     pairs = durable(pairs)
-    terms = durable(pairs.select("term").distinct())
-    if terms.isEmpty():
-        revealing = pairs.select("entity", "term").limit(0)
+    if pairs.isEmpty():
+        revealing = pairs.select("entity", "term")
     else:
+        # Counted for each task before the shuffle, so a frequent word is a row for each task.
         words = df.select(F.explode(F.array_distinct(F.split(F.lower(whole(text_col)), r"[^\p{L}]+"))).alias("term"))
-        few = terms.count() <= BROADCAST_TERMS
-        seen = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
+        seen = words.groupBy("term").agg(F.count("*").alias("c_t"))
         entities = hits.groupBy("entity").agg(F.count_distinct("_row").alias("c_e"))
         share = F.log2(n * F.col("both") / (F.col("c_e") * F.greatest("both", F.coalesce("c_t", F.lit(0))))) / F.log2(n / F.col("c_e"))
         revealing = pairs.join(seen, "term", "left").join(entities, "entity").where((F.col("c_e") < n) & (share >= disclosure)).select("entity", "term")
