@@ -28,6 +28,8 @@ BEFORE = LENGTH - GRAM
 WIDTH = BEFORE + LENGTH
 #: Bytes of text in a group of documents, and least bytes when there are few.
 GROUP_BYTES, LEAST_BYTES = 4 << 20, 64 << 10
+#: Groups of documents for each task that compares surroundings, at most.
+GROUPS_A_TASK = 4
 #: Anchors with more surroundings than this are split by the hash of each 100-byte string.
 HOT = 16_384
 #: Positions that are hashed at a time.
@@ -420,6 +422,11 @@ def remove_spans(docs: Docs, payloads: list[bytes]) -> tuple[np.ndarray, list[by
     return gone, [docs.data[a:b][~gone[a:b]].tobytes() for a, b in zip(docs.starts, docs.ends, strict=True)]
 
 
+def task_count(n_groups: int, own: int) -> int:
+    """Tasks of anchors: two for each shuffle partition, and so many that what comes to one doesn't grow with the input."""
+    return max(1, min(2 * own, n_groups), -(-n_groups // GROUPS_A_TASK))
+
+
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay).
 
@@ -433,7 +440,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_groups = max(-(-total // GROUP_BYTES), min(own, -(-total // LEAST_BYTES)), 1)
-    tasks = max(1, min(2 * own, n_groups))
+    tasks = task_count(n_groups, own)
     texts = df.select(F.col(id_col).cast("long").alias("_id"), data.alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_groups)).cast("int").alias("_group"))
 
     def step1(table: pa.Table) -> pa.Table:
