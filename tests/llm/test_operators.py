@@ -160,17 +160,17 @@ def brute_removed(rows):
     return by_text(out)
 
 
-@pytest.mark.parametrize("hot", [16384, 2])
-def test_suffix_dedup(spark, odd, docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hot,group_bytes", [(16384, 4 << 20), (2, 4 << 20), (2, 500), (0, 500)])
+def test_suffix_dedup(spark, odd, docs, hot, group_bytes, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group_bytes)  # only the driver reads it
     rng = random.Random(3)
     base = "".join(rng.choice("abcdé ") for _ in range(2000))
     rows = []
     for i in range(60):
         a = rng.randrange(1800)
         rows.append((i, rng.choice(["", "xyz" * rng.randint(0, 50)]) + base[a : a + rng.randint(1, 300)] + "q" * rng.randint(0, 130)))
-    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd, docs if hot > 2 else odd):
-        got = by_text(map(tuple, suffix_dedup.dedup_substrings(df).collect()))
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd, docs if group_bytes > 500 else odd):
+        got = by_text(map(tuple, suffix_dedup.dedup_substrings(df, hot_places=hot).collect()))
         assert got == brute_removed([(r.doc_id, r.text) for r in df.collect()])
 
 

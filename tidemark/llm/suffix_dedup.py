@@ -166,8 +166,8 @@ def find_anchors(docs: Docs, group: int, tasks: int) -> list[tuple]:
     return [(to, group, 0, pack(a, b)) for to, (a, b) in _by((h % np.uint64(tasks)).astype(np.int64), h, n)]
 
 
-def repeated_anchors(groups: list[int], payloads: list[bytes]) -> list[tuple]:
-    """For each group the anchors that other groups have too; marked with 1 if they are hot."""
+def repeated_anchors(groups: list[int], payloads: list[bytes], most: int) -> list[tuple]:
+    """For each group the anchors that other groups have too; marked with 1 if they are hot, with more than `most` places."""
     h, n = unpack(payloads, *ANCHOR)
     group = np.repeat(groups, [len(p) // 10 for p in payloads])
     order = np.argsort(h, kind="stable")
@@ -175,8 +175,8 @@ def repeated_anchors(groups: list[int], payloads: list[bytes]) -> list[tuple]:
     first = np.concatenate(([True], h[1:] != h[:-1]))
     number = np.cumsum(first) - 1
     seen, total = np.bincount(number), np.bincount(number, n)
-    many = (seen[number] > 1) | (total[number] > HOT)
-    hot = (total[number] > HOT).astype(np.uint16)
+    many = (seen[number] > 1) | (total[number] > most)
+    hot = (total[number] > most).astype(np.uint16)
     return [(to, to, 0, pack(a, b)) for to, (a, b) in _by(group[many], h[many], hot[many])]
 
 
@@ -427,13 +427,14 @@ def task_count(n_groups: int, own: int) -> int:
     return max(1, min(2 * own, n_groups), -(-n_groups // GROUPS_A_TASK))
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot_places: int = HOT) -> DataFrame:
     """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay).
 
     A 100-byte string is a copy if it starts earlier too: in a smaller id, or further ahead in
     the same document. Null ids are the smallest; rows with one id follow each other in the
     order of their bytes. Null counts as empty; texts under 100 bytes lose nothing. Ids are
-    integers. An empty table gives an empty table; other columns don't matter.
+    integers. An empty table gives an empty table; other columns don't matter. hot_places changes
+    how strings are compared, not the result.
     """
     spark = df.sparkSession
     own = partitions(spark)
@@ -447,7 +448,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _rows(find_anchors(Docs(table), table.column("_group")[0].as_py(), tasks))
 
     def step2(table: pa.Table) -> pa.Table:
-        return _rows(repeated_anchors(table.column("_group").to_pylist(), table.column("_payload").to_pylist()))
+        return _rows(repeated_anchors(table.column("_group").to_pylist(), table.column("_payload").to_pylist(), hot_places))
 
     def step3(table: pa.Table, lists: pa.Table) -> pa.Table:
         if not table.num_rows:
