@@ -286,7 +286,8 @@ def test_jaccard_join(spark, odd, docs, small, block, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:k] + [f"n{i}"] + base[k + 1 :])) for i, k in enumerate(rng.randrange(120) for _ in range(40))]
-    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd, docs if small > 4 else odd):
+    often = rows + [rows[0]] * 50 + [(None, rows[1][1])] * 30
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(often, "doc_id long, text string"), odd, docs if small > 4 else odd):
         got = by_text((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect())
         assert got == brute_classes([(r.doc_id, r.text) for r in df.collect()])
     kept = jaccard_join.keep_one_of_each(odd)

@@ -29,6 +29,8 @@ from tidemark.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Length of the sketch, levels of the tree, nodes of a bucket that isn't split further, nodes of a block.
 SKETCH, DEPTH, SMALL, BLOCK = 64, 3, 256, 2048
+#: Nodes for each task that compares buckets, on average at most.
+NODES_A_SLOT = 4096
 RECALL = 0.999
 #: Deviations of a sketch's estimate that a candidate may lie below the similarity.
 SLACK = 4.0
@@ -259,10 +261,10 @@ def linked(sets: list[np.ndarray], side: np.ndarray, within: bool, similarity: f
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: _row, _id, _key, _class (a number), n_links."""
     spark = df.sparkSession
-    slots = 4 * partitions(spark)
     rows = durable(described(df, id_col, text_col))
     sets = rows.where(F.col("_set").isNotNull()).groupBy("_set")
     nodes = durable(sets.agg(F.min("_row").alias("node"), F.count("*").alias("_copies"), F.first("_sketch").alias("_sketch"), F.min(F.struct("_row", "_key")).alias("_first")).select("_set", "node", "_copies", "_sketch", "_first._key"))
+    slots = max(4 * partitions(spark), nodes.count() // NODES_A_SLOT)
     edges = candidate_edges(nodes, leaves(nodes, runs_needed()), slots)
     near = components(edges)
     group_sizes = near.groupBy("root").agg(F.count("*").alias("n"))
@@ -271,7 +273,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text_key = row_key(id_col, text_col)
     texts = df.select(text_key.alias("_key"), whole(text_col).alias("_text"))
     asked = members.select("_key", "root", "node", "n", "_copies")
-    cut = in_blocks(texts.join(asked, "_key"), "root", "node", "n").withColumn("_slot", F.pmod(F.xxhash64("root", "_i", "_j"), F.lit(slots)))
+    # Rows that are repeated many times would fill one task; one of each key is enough.
+    cut = in_blocks(texts.join(asked, "_key").dropDuplicates(["_key"]), "root", "node", "n").withColumn("_slot", F.pmod(F.xxhash64("root", "_i", "_j"), F.lit(slots)))
 
     def verify(table: pa.Table) -> pa.Table:
         words = Words()
@@ -279,9 +282,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         text = table.column("_text")
         out: list[list[np.ndarray]] = [[], [], []]
         for group in _groups(root, i, j):
-            # A row of the table that is repeated is one node.
-            _, first = np.unique(node[group], return_index=True)
-            group = group[first]
             if len(group) < 2:
                 continue
             own = [shingles(text[int(k)].as_py(), words) for k in group]
