@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import differences
 from tidemark.llm import audio, bpe, exact_dedup, jaccard_join, langid, mixing, pii, quality, sharding, suffix_dedup
@@ -121,6 +122,29 @@ def test_mixing(odd, docs):
     assert sum(r.taken for r in got) <= sum(r.size for r in got)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_is_a_fair_queue_beside_a_capped_source(spark, seed):
+    sizes = {"a": [20_000] + [100] * 100, "b": [100] * 60, "c": [100] * 20}
+    docs = [(i, s, n) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, s, n in docs], "doc_id long, text string, source string")
+    order = mixing.mix_positions(df, "doc_id", "text", "source", None, 3, seed).select("_id", F.xxhash64(F.lit(seed), "_key").alias("u"), "target").collect()
+    target = {docs[r._id][1]: r.target for r in order}
+    assert target["b"] == 3 * sum(sizes["b"]) and target["a"] < sum(sizes["a"])
+    queue = []
+    for s, rank in zip("abc", range(3)):
+        sofar, own = 0, sorted((r.u, r._id) for r in order if docs[r._id][1] == s)
+        for _, i in own * 3:
+            sofar += docs[i][2]
+            queue.append((sofar / target[s], rank, i))
+    want, left = collections.Counter(), sum(n for _, _, n in docs)
+    for _, _, i in sorted(queue):
+        if docs[i][2] > left:
+            break
+        left -= docs[i][2]
+        want[i] += docs[i][2]
+    assert {r.doc_id: r.taken for r in mixing.mix(df, seed=seed).collect() if r.taken} == dict(want)
+
+
 def test_reshare():
     got = mixing.reshare({"a": 10, "b": 1000, None: 5}, {"a": 1, "b": 2, None: 3}, 1015, 3)
     assert got == {"a": 30.0, "b": 970.0, None: 15.0}

@@ -59,7 +59,7 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
         ).withColumn("_u", F.xxhash64(F.lit(seed), "_key"))
     )
     # One row for each source: as many as the mix has weights.
-    found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()
+    found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sizes = {r["_source"]: r["size"] for r in found}
     budget = sum(sizes.values())
     weights = cyclic_weights(list(sizes)) if weights is None else {s: weights.get(s, 0) for s in sizes}
@@ -80,13 +80,13 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
     def finish(epoch: Column) -> Column:
         return (epoch * F.col("source_size") + F.col("_sofar")) / F.col("target")
 
-    # Later finish times can't be reached: by then all sources have had their budget.
-    reach = 1 + sum(r["largest"] for r in found) / max(1, budget)
+    # All copies are searched: a capped source has no more to give after time 1, so a long text can hold the budget's
+    # end back by any factor. Ranges widen with the time beyond 1, which keeps their number small.
+    at = F.when(F.col("_finish") < 1, F.col("_finish")).otherwise(1 + F.log2("_finish"))
     copies = (
         rows.where((F.col("size") > 0) & (F.col("target") > 0))
         .select("_rank", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), finish)).alias("_finish"))
-        .where(F.col("_finish") <= reach)
-        .withColumn("_range", F.floor(F.col("_finish") * many))
+        .withColumn("_range", F.floor(at * many))
     )
     # As many sums as there are ranges: some for each shuffle partition.
     ranges = sorted((r["_range"], r["n"]) for r in copies.groupBy("_range").agg(F.sum("size").alias("n")).collect())
@@ -99,9 +99,9 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
     cut = (float("inf"), 0)
     if last is not None:
         upto = Window.partitionBy("_range").orderBy("_finish", "_rank").rowsBetween(Window.unboundedPreceding, 0)
-        edge = copies.where(F.col("_range") == last).withColumn("_upto", F.sum("size").over(upto) + spent).where(F.col("_upto") <= budget)
-        end = edge.agg(F.max(F.struct("_finish", "_rank")).alias("x")).first()["x"]
-        cut = (end["_finish"], end["_rank"]) if end else (last / many, -1)
+        edge = copies.where(F.col("_range") == last).withColumn("_upto", F.sum("size").over(upto) + spent)
+        end = edge.agg(F.max(F.when(F.col("_upto") <= budget, F.struct("_finish", "_rank"))).alias("x"), F.min("_finish").alias("first")).first()
+        cut = (end["x"]["_finish"], end["x"]["_rank"]) if end["x"] else (end["first"], -1)
     taken = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(most - 1)), finish),
         lambda f: (f < cut[0]) | ((f == cut[0]) & (F.col("_rank") <= cut[1])),
