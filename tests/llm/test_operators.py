@@ -251,6 +251,17 @@ def test_revealing_terms(spark):
     assert "zanzibar" in terms
 
 
+def test_revealing_terms_of_whole_documents(spark):
+    far = "plain words of no weight number " * 10
+    rows = ["plain words of no weight number"] * 2000
+    rows += [f"Okapi stands {far}amy@corp.example.com {far}with the okapi", f"shared zebra bob@corp.example.com {far}", f"shared zebra {far}"]
+    rows += [f"zebra number {far}"] * 3
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    terms = {i: [rows[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in found[i].split(",") if x) if k == "term"] for i in found}
+    assert terms[2000] == ["Okapi", "stands", "with", "okapi"]
+    assert not any(terms[i] for i in terms if i != 2000)
+
+
 def test_audio(spark, odd, docs):
     for df in (odd, docs):
         for r, t in zip(sorted(audio.audio_digest(df).collect(), key=lambda r: (r.doc_id or -1, r.payload_sha256)), sorted(df.collect(), key=lambda r: (r.doc_id or -1, hashlib.sha256(audio.padded((r.text or "").encode())).hexdigest())), strict=True):

@@ -1,24 +1,28 @@
 """Operator 7: information-theoretic sanitisation of personal data.
 
 Protected entities are what four patterns find (email, ip, card, phone). Over the whole corpus
-it is then estimated how strongly a term that stands near an entity reveals it: the pointwise
-mutual information of the two as a share of the entity's own information content,
-    log2(N c(e,t) / (c(e) c(t))) / log2(N / c(e)),
-with document counts. Terms above the threshold are added as spans of kind `term`, to be
-generalised with the entity; a pair must be seen in several different surroundings, so that
-copies of one document don't make its every word revealing.
+it is then estimated how strongly a term that stands in a document with an entity reveals it: the
+pointwise mutual information of the two as a share of the entity's own information content,
+    log2(N c(e,t) / (c(e) c(t)) * k / (k + 1)) / log2(N / c(e)),
+with document counts and k, the number of differently worded documents of the pair: a pair is
+reckoned as if one more document had the term without the entity, so rare pairs need entities of
+much information and copies of one document don't make its every word revealing. Terms above the
+threshold are added as spans of kind `term` wherever they stand in the entity's documents, to be
+generalised with it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, whole
+from tidemark.llm.common import durable, small_batches, whole
 
 KINDS = ("email", "ip", "card", "phone")
 # The characters and shapes of the four kinds.
@@ -29,8 +33,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
-#: Words on either side of an entity whose terms are judged.
-NEAR_CHARS = 80
+#: What parts the same words in Spark.
+NO_LETTERS = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -91,71 +95,97 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms close to each entity, outside of all entities, with a mark of their surroundings."""
-    covered = [(a, b) for _, a, b in spans]
-    out = []
-    for _, start, end in spans:
-        # Whole words of the surroundings: from the first break inside the window.
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        words = [(m.group().lower(), low + m.start(), low + m.end()) for m in TERM.finditer(text[low:high])]
-        words = [w for w in words if (w[1] > low or low == 0 or not text[low - 1].isalpha()) and (w[2] < high or high == len(text) or not text[high].isalpha())]
-        words = [w for w in words if not any(w[1] < b and a < w[2] for a, b in covered)]
-        mark = "\x1f".join(w[0] for w in words)
-        out += [{"entity": text[start:end], "term": w, "start": a, "end": b, "mark": mark} for w, a, b in words]
-    return out
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The terms outside of all entities, in their order."""
+    covered = sorted((a, b) for _, a, b in spans)
+    i = 0
+    for m in TERM.finditer(text):
+        while i < len(covered) and covered[i][1] <= m.start():
+            i += 1
+        if i == len(covered) or covered[i][0] >= m.end():
+            yield m.group().lower(), *m.span()
 
 
 def scan_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: _row, id, the four counts, base (spans as text), near (terms by entities)."""
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("mark", pa.string())]))
+    """For each row: _row, id, the four counts, base (spans as text); of rows with entities also these, their terms, a mark of the wording and the packed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
-            base, terms = [], []
+            base, entities, terms, marks, packed = [], [], [], [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in spans))
                 base.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-                terms.append(near_terms(text, spans) if spans else [])
+                words = [t for t, _, _ in terms_outside(text, spans)] if spans else []
+                entities.append(sorted({text[a:b] for _, a, b in spans}))
+                terms.append(" ".join(dict.fromkeys(words)))
+                marks.append(int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True))
+                packed.append(zlib.compress(text.encode(), 1) if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array(terms, near)],
-                names=["_row", "_id", *(f"n_{k}" for k in KINDS), "base", "near"],
+                [batch.column(0), batch.column(1), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.string()), pa.array(marks, pa.int64()), pa.array(packed, pa.binary())],
+                names=["_row", "_id", *(f"n_{k}" for k in KINDS), "base", "entities", "terms", "mark", "packed"],
             )
 
-    schema = f"_row long, _id {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:int,end:int,mark:string>>"
+    schema = f"_row long, _id {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms string, mark long, packed binary"
     return df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), whole(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9, surroundings: int = 3) -> DataFrame:
+def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, disclosure: float) -> DataFrame:
+    """For each row that has some: _row and revealing, its revealing terms parted by spaces."""
+    n = scanned.count()
+    beside = scanned.select("_row", "mark", F.explode("entities").alias("entity"))
+    entities = durable(beside.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") < n))
+    # No term of more documents can reach the share, whatever the documents of the pair.
+    most = F.pow("c_e", F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * (1 + 1e-9)
+    ceiling = entities.agg(F.max(most).alias("x")).first()["x"]
+    if ceiling is None:
+        return scanned.select("_row", F.lit("").alias("revealing")).limit(0)
+    beside = beside.join(entities, "entity")
+    bounds = beside.groupBy("_row").agg(F.max(most).alias("most"))
+    # Counted for each task before the shuffle, so a frequent word is a row for each task.
+    words = df.select(F.explode(F.array_distinct(F.split(F.lower(whole(text_col)), NO_LETTERS))).alias("term")).where(F.length("term") >= 4)
+    seen = words.groupBy("term").agg(F.count("*").alias("c_t"))
+    held = scanned.where(F.col("terms") != "").select("_row", F.explode(F.split("terms", " ")).alias("term"))
+    rare = held.join(seen, "term", "left").withColumn("c_t", F.coalesce("c_t", F.lit(0))).where(F.col("c_t") <= ceiling)
+    rare = durable(rare.join(bounds, "_row").where(F.col("c_t") <= F.col("most")).drop("most"))
+    pairs = rare.join(beside, "_row").groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("mark").alias("wordings"), F.max("c_t").alias("c_t"), F.max("c_e").alias("c_e"))
+    known = F.log2(F.lit(n) / F.col("c_e"))
+    unsure = F.log2(F.greatest("both", "c_t") / F.col("both") * (F.col("wordings") + 1) / F.col("wordings"))
+    told = pairs.where(1 - unsure / known >= disclosure).select("entity", "term")
+    found = rare.select("_row", "term").join(beside.select("_row", "entity"), "_row").join(told, ["entity", "term"], "left_semi")
+    return found.groupBy("_row").agg(F.array_join(F.collect_set("term"), " ").alias("revealing"))
+
+
+def term_spans(packed, revealing):
+    """Spans of the revealing terms in packed texts, as text; None where there are none."""
+    import pandas as pd
+
+    out = []
+    for z, told in zip(packed, revealing, strict=True):
+        spans = None
+        if isinstance(told, str) and told:
+            text, told = zlib.decompress(z).decode(), set(told.split(" "))
+            spans = ",".join(f"term:{a}:{b}" for t, a, b in terms_outside(text, base_spans(text)) if t in told)
+        out.append(spans)
+    return pd.Series(out, dtype=object)
+
+
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
     """One row for each row of df: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     spans lists kind:start:end of the entities and then of revealing terms (kind `term`), which
     never overlap entities. `disclosure` is the share of an entity's information that a term
-    must give away, `surroundings` the number of different contexts the pair must have. Null
+    must give away; terms are judged and marked over the whole of an entity's documents. Null
     counts as empty: no spans. Repeated rows each have their result; an empty table gives an
     empty table; other columns don't matter.
     """
+    small_batches(df.sparkSession)
     scanned = durable(scan_personal(df, id_col, text_col))
-    n = max(1, scanned.count())
-    hits = scanned.select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    pairs = hits.groupBy("entity", "term").agg(F.count_distinct("mark").alias("contexts"), F.count_distinct("_row").alias("both")).where(F.col("contexts") >= surroundings)
-    pairs = durable(pairs)
-    if pairs.isEmpty():
-        revealing = pairs.select("entity", "term")
-    else:
-        # Counted for each task before the shuffle, so a frequent word is a row for each task.
-        words = df.select(F.explode(F.array_distinct(F.split(F.lower(whole(text_col)), r"[^\p{L}]+"))).alias("term"))
-        seen = words.groupBy("term").agg(F.count("*").alias("c_t"))
-        entities = hits.groupBy("entity").agg(F.count_distinct("_row").alias("c_e"))
-        share = F.log2(n * F.col("both") / (F.col("c_e") * F.greatest("both", F.coalesce("c_t", F.lit(0))))) / F.log2(n / F.col("c_e"))
-        revealing = pairs.join(seen, "term", "left").join(entities, "entity").where((F.col("c_e") < n) & (share >= disclosure)).select("entity", "term")
-    added = hits.join(revealing, ["entity", "term"], "left_semi").select("_row", "start", "end").distinct()
-    added = added.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat(F.lit("term:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias("more"))
-    return scanned.join(added, "_row", "left").select(
+    added = revealing_terms(scanned, df, text_col, disclosure)
+    return scanned.join(added, "_row", "left").withColumn("more", F.pandas_udf(term_spans, "string")("packed", "revealing")).select(
         F.col("_id").alias(id_col),
         *(f"n_{k}" for k in KINDS),
         F.sha2(F.col("base"), 256).alias("base_sha256"),
