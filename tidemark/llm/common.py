@@ -15,12 +15,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the session names in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder of our own is used.
+    It is the one the session names in spark.checkpoint.dir; where that is unset, a temporary
+    folder is used on a local master, and a cluster is refused.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -52,6 +54,21 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), F.sha2(whole(text_col), 256))
 
 
+def identity(df: DataFrame) -> Column:
+    """A hash of a whole row: rows that share it are equal in every column, nulls included."""
+    each = [F.coalesce(F.sha2(F.col(f"`{c.replace('`', '``')}`").cast("string").cast("binary"), 256), F.lit("null")) for c in df.columns]
+    return F.sha2(F.concat_ws("#", *each), 256)
+
+
+def one_of_each(df: DataFrame, key: Column) -> DataFrame:
+    """(_key, _doc): one whole row of df for each key, the one whose identity is least.
+
+    The caller's columns lie in the struct _doc, so no name of theirs can clash with one of ours.
+    """
+    rows = df.select(F.struct("*").alias("_doc"), key.alias("_key"), identity(df).alias("_whole"))
+    return rows.groupBy("_key").agg(F.min_by("_doc", "_whole").alias("_doc"))
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds `out`: 0, 1, 2 ... within each value of keys, in the given order.
 
@@ -65,3 +82,20 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataF
     earlier = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
     return dealt.join(parts, [*keys, pid]).withColumn(out, (F.col(at) - F.col(first) + F.col(before)).cast("long")).drop(at, first, before, pid)
+
+
+def running(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
+    """Adds `out`: the sum of value over the rows that stand earlier in the given order.
+
+    The rows are dealt by range of the order and summed range by range; only a row for each
+    range goes into the prefix sums, and these rows, no more than there are ranges, are broadcast.
+    """
+    at, pid, within, before = "_at", "_pid", "_within", "_before"
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = durable(dealt.withColumn(at, F.monotonically_increasing_id())).withColumn(pid, F.shiftright(at, 33))
+    parts = dealt.groupBy(pid).agg(F.sum(value).alias(within))
+    earlier = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(pid, F.coalesce(F.sum(within).over(earlier), F.lit(0)).alias(before))
+    own = Window.partitionBy(pid).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn(within, F.sum(value).over(own) - F.col(value))
+    return dealt.join(F.broadcast(parts), pid).withColumn(out, F.col(before) + F.col(within)).drop(at, pid, within, before)

@@ -6,7 +6,8 @@ first. All copies are dealt by ranges of finish time and taken in that order unt
 is spent. DataFrame functions only.
 
 No source is summed up in one task: its shuffle order is cut into buckets, whose sums give the
-running totals at which each bucket starts.
+running totals at which each bucket starts. Rows that are equal in every column are counted and
+stand in the order by chunks.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, partitions, row_key, whole
+from tidemark.llm.common import durable, identity, partitions, whole
 
 #: A word for mixing: what ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the shuffle order and of finish times, for each shuffle partition.
 BUCKETS = 8
+#: Equal rows that go together; more of them are several chunks.
+CHUNK = 1000
 
 
 def cyclic_weights(sources: list[str | None], cycle: tuple[int, ...] = (1, 2, 3)) -> dict[str | None, int]:
@@ -46,20 +49,26 @@ def reshare(sizes: dict[str | None, int], weights: dict[str | None, int], budget
     return {s: float(target.get(s, 0)) for s in sizes}
 
 
+def chunks(n: str) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.col(n) - 1) / CHUNK).cast("int"))
+
+
 def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: dict | None, most: int, seed: int) -> DataFrame:
-    """For each row: _id, _key, size, source_size, target, and _finishes: finish times of its taken copies."""
+    """For each row: _id, _key and _chunk (of the row), size, source_size, target, and _finishes: finish times of its taken copies."""
     spark = df.sparkSession
-    text = whole(text_col)
-    rows = durable(
-        df.select(
-            F.col(id_col).alias("_id"),
-            row_key(id_col, text_col).alias("_key"),
-            F.col(source_col).alias("_source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        ).withColumn("_u", F.xxhash64(F.lit(seed), "_key"))
+    rows = df.select(
+        F.col(id_col).alias("_id"),
+        identity(df).alias("_key"),
+        F.col(source_col).alias("_source"),
+        F.regexp_count(whole(text_col), F.lit(WORD)).cast("long").alias("size"),
     )
+    # Rows that are equal in every column are counted before the shuffle and go on as chunks of their number.
+    rows = rows.groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_id", "_source", "size")), F.count("*").alias("_n"))
+    rows = rows.withColumn("_chunk", F.explode(chunks("_n"))).withColumn("_times", F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK))
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), "_key", F.col("_chunk").cast("string"))), 1, 15), 16, 10).cast("long")
+    rows = durable(rows.withColumn("_u", shuffled).withColumn("_all", F.col("size") * F.col("_times")).drop("_n"))
     # One row for each source: as many as the mix has weights.
-    found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    found = rows.groupBy("_source").agg(F.sum("_all").alias("size"), F.count("*").alias("n")).collect()
     sizes = {r["_source"]: r["size"] for r in found}
     budget = sum(sizes.values())
     weights = cyclic_weights(list(sizes)) if weights is None else {s: weights.get(s, 0) for s in sizes}
@@ -69,13 +78,14 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
     sources = spark.createDataFrame(table, "_rank int, _of string, source_size long, target double, _buckets int")
     rows = rows.join(F.broadcast(sources) if len(table) <= 10_000 else sources, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
 
-    part = F.floor((F.col("_u").cast("double") / F.lit(2.0**64) + 0.5) * F.col("_buckets")).cast("int")
+    part = F.floor(F.col("_u").cast("double") / F.lit(2.0**60) * F.col("_buckets")).cast("int")
     rows = rows.withColumn("_part", F.least(part, F.col("_buckets") - 1))
     before = Window.partitionBy("_rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_rank", "_part").agg(F.sum("size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("_rank", "_part").orderBy("_u", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_local", F.sum("size").over(within)).join(sums, ["_rank", "_part"])
-    rows = durable(rows.withColumn("_sofar", F.col("_before") + F.col("_local")).drop("_part", "_u", "_before", "_local", "_buckets", "_source"))
+    sums = rows.groupBy("_rank", "_part").agg(F.sum("_all").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy("_rank", "_part").orderBy("_u", "_key", "_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum("_all").over(within) - F.col("_all")).join(sums, ["_rank", "_part"])
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    rows = durable(rows.withColumn("_sofar", F.col("_before") + F.col("_local") + F.col("_nth") * F.col("size")).drop("_part", "_u", "_before", "_local", "_buckets", "_source", "_all", "_times", "_nth"))
 
     def finish(epoch: Column) -> Column:
         return (epoch * F.col("source_size") + F.col("_sofar")) / F.col("target")
@@ -115,17 +125,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     The budget is the sum of all sizes. Without weights the sources weigh 1, 2, 3, 1, ... in
     code point order, null last; a source that given weights don't name takes no part. Targets
     stop at `most` times a source's size. Null text has size 0 and is never taken, a null
-    source is a source, repeated rows count each; the shuffle depends on id, text and seed
-    alone, so reruns agree. An empty table gives an empty table.
+    source is a source, repeated rows count each, whatever their number; a very long text is
+    taken whole or not at all. The shuffle depends on the rows' values and the seed alone, so
+    reruns agree. An empty table gives an empty table.
     """
     rows = mix_positions(df, id_col, text_col, source_col, weights, most, seed)
     return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.size("_finishes") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, most: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: a row with all columns of df for each copy taken, in order of finish time."""
-    rows = mix_positions(df, id_col, text_col, source_col, weights, most, seed).where(F.size("_finishes") > 0)
-    rows = rows.groupBy("_key").agg(F.flatten(F.collect_list("_finishes")).alias("_finishes"))
-    keyed = df.withColumn("_key", row_key(id_col, text_col))
-    copies = keyed.dropDuplicates(["_key"]).join(rows, "_key").withColumn("_finish", F.explode("_finishes"))
-    return copies.orderBy("_finish", "_key").select(*df.columns)
+    """The mix itself: a row with all columns of df, whatever these are called, for each copy taken, in order of finish time."""
+    copies = mix_positions(df, id_col, text_col, source_col, weights, most, seed).select("_key", "_chunk", F.explode("_finishes").alias("_finish"))
+    docs = df.select(F.struct("*").alias("_doc"), identity(df).alias("_key")).groupBy("_key").agg(F.first("_doc").alias("_doc"), F.count("*").alias("_n"))
+    docs = docs.select("_key", "_doc", F.explode(chunks("_n")).alias("_chunk"))
+    return copies.join(docs, ["_key", "_chunk"]).orderBy("_finish", "_key").select("_doc.*")
