@@ -3,7 +3,8 @@
 Texts are cut into blocks of a fixed number of bytes. Distinct blocks are sorted and numbered;
 the numbers of adjacent blocks are paired, distinct pairs are sorted and numbered, and so on
 until one number is left for each text. Texts with as many blocks are equal exactly when their
-last numbers are equal. DataFrame functions only.
+last numbers are equal. DataFrame functions only. A number tells a block's place among its
+partition's sorted blocks and the partition, so numbering needs no second shuffle of the text.
 
 Blocks move once, reduced to distinct ones before the shuffle. Rows find their block's number
 by a 128-bit hash, which is first checked to be one to one on all distinct blocks (and reseeded
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, partitions, row_key, whole
+from tidemark.llm.common import durable, one_of_each, partitions, row_key, whole
 
 BLOCK_BYTES = 8192
 
@@ -75,7 +76,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     Of rows with identical texts the one with the largest id stays; null ids count as the
     smallest, and of rows with equal id and text exactly one stays. Null and empty texts are
-    equal. An empty table gives an empty table; other columns don't matter.
+    equal. A very long text is as many blocks as it has, in as many rows. An empty table gives
+    an empty table; other columns don't matter.
     """
     names = document_names(df, id_col, text_col, block_bytes)
     groups = names.groupBy("_blocks", "_name").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
@@ -91,8 +93,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns."""
+    """The rows of df that exact_dedup keeps, with all their columns, whatever these are called.
+
+    Of rows with equal id and text but different other columns the one with the least hash stays.
+    """
     found = exact_dedup(df, id_col, text_col).where("kept")
     keys = found.select(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), "text_sha256").alias("_key"))
-    keyed = df.withColumn("_key", row_key(id_col, text_col))
-    return keyed.dropDuplicates(["_key"]).join(keys, "_key", "left_semi").drop("_key").select(*df.columns)
+    return one_of_each(df, row_key(id_col, text_col)).join(keys, "_key", "left_semi").select("_doc.*")
