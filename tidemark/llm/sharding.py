@@ -3,8 +3,11 @@
 Groups (equal texts) are taken by decreasing size; each enters the shard with the tightest
 remaining capacity that still holds it, found in a balanced tree of remaining capacities.
 Groups of one size are interchangeable, and the tightest shard stays the tightest while it
-holds more of that size, so the packing runs over the histogram of group sizes. Distinct sizes
-number at most sqrt(2 x total bytes), whatever the number of groups.
+holds more of that size, so the packing runs over a histogram of sizes.
+
+What is packed is bounded whatever the number of groups: groups stand in order of size, and those
+that start within the same 1/1024 of a shard's bytes are one item. Larger groups are items of
+their own, and an item of small ones is less than 1/512 of a shard.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, gapless, whole
+from tidemark.llm.common import durable, gapless, running, whole
+
+#: Items for each shard at most, so the driver packs that many times the number of shards.
+ITEMS_A_SHARD = 1024
 
 
 class RemainingTree:
@@ -115,8 +121,8 @@ def pack_shards(df: DataFrame, n_shards: int | None = 16, capacity: int | None =
     the UTF-8 bytes of the text (null: none) plus 1. One row for each row of df: id, size,
     text_crc32 (null as empty), law `bytes`, shard, slot (0, 1, ... within the shard, by text
     and id) and grown_shard (null: the law isn't `key`). A group larger than the capacity has
-    a shard of its own size. Null or repeated ids are rows like others; an empty table gives
-    an empty table.
+    a shard of its own size, be it one very long text. Null or repeated ids are rows like others;
+    an empty table gives an empty table; other columns don't matter.
     """
     text = whole(text_col)
     rows = durable(
@@ -128,13 +134,18 @@ def pack_shards(df: DataFrame, n_shards: int | None = 16, capacity: int | None =
             F.unhex(F.sha2(text, 256)).alias("_group"),
         )
     )
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"))
-    groups = durable(gapless(groups, ["_size"], ["_group"], "_nth"))
-    histogram = [(r["_size"], r["n"]) for r in groups.groupBy("_size").agg(F.count("*").alias("n")).collect()]
+    groups = durable(rows.groupBy("_group").agg(F.sum("size").alias("_size")))
+    total = groups.agg(F.sum("_size")).first()[0] or 0
+    unit = max(1, (capacity or -(-total // n_shards)) // ITEMS_A_SHARD)
+    groups = durable(running(groups, "_size", ["_size", "_group"], "_start").select("_group", "_size", F.floor(F.col("_start") / unit).alias("_item")))
+    items: dict[int, list[int]] = {}
+    for r in groups.groupBy("_item").agg(F.sum("_size").alias("size")).collect():
+        items.setdefault(r["size"], []).append(r["_item"])
+    histogram = [(size, len(same)) for size, same in items.items()]
     if capacity is None:
         capacity = least_capacity(histogram, n_shards)
-    plan = best_fit_decreasing(histogram, capacity)
-    plan = df.sparkSession.createDataFrame(plan, "_size long, _first long, _end long, shard int")
-    dealt = groups.join(plan, (groups["_size"] == plan["_size"]) & (F.col("_nth") >= F.col("_first")) & (F.col("_nth") < F.col("_end"))).select("_group", "shard")
+    plan = [(item, shard) for size, first, end, shard in best_fit_decreasing(histogram, capacity) for item in sorted(items[size])[first:end]]
+    plan = df.sparkSession.createDataFrame(plan, "_item long, shard int")
+    dealt = groups.join(F.broadcast(plan), "_item").select("_group", "shard")
     placed = gapless(rows.join(dealt, "_group"), ["shard"], ["_group", "_id", "_row"], "slot")
     return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
