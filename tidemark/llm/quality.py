@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole
+from tidemark.llm.common import small_batches, whole
 
 DIMENSIONS = 1 << 18
-#: Labelled documents to learn from at most, by hash of id and text.
-SAMPLE_DOCS = 12_000
+#: Labelled documents to learn from at most, by hash of id; longer ones teach nothing. A text has at most four bytes of
+#: features for each of its own, so what comes to the driver is bounded.
+SAMPLE_DOCS, SAMPLE_BYTES = 12_000, 16_384
 GRADES = 3
 #: Training documents that a feature must have to get a weight.
 LEAST_DOCS = 8
@@ -75,6 +76,19 @@ class OrdinalModel:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
 
+    @staticmethod
+    def slopes(weights: np.ndarray, thresholds: np.ndarray, flat: np.ndarray, row: np.ndarray, grades: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The log-likelihood weighed by share, and its slopes by weight and by threshold; flat and row list the documents' features."""
+        n = len(grades)
+        score = np.bincount(row, weights[flat], minlength=n)
+        tails = np.column_stack([np.ones(n), *(sigmoid(score - t) for t in thresholds), np.zeros(n)])
+        upper, lower = tails[np.arange(n), grades], tails[np.arange(n), grades + 1]
+        p = np.maximum(upper - lower, 1e-9)
+        up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
+        by_score = share * (up - low)
+        by_threshold = np.array([-(share * up)[grades == k].sum() + (share * low)[grades == k - 1].sum() for k in range(1, GRADES)])
+        return float((share * np.log(p)).sum()), np.bincount(flat, by_score[row], minlength=len(weights)), by_threshold
+
     @staticmethod
     def fit(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.3, decay: float = 1e-3) -> OrdinalModel:
         """Full-batch AdaGrad on the mean log-likelihood, averaged over the last half; classes weigh by the root of their share."""
@@ -94,14 +108,8 @@ class OrdinalModel:
         mean, mean_t, late = np.zeros(DIMENSIONS), np.zeros(2), range(rounds // 2, rounds)
         seen, seen_t = np.full(DIMENSIONS, 1e-8), np.full(2, 1e-8)
         for step in range(rounds):
-            score = np.bincount(row, weights[flat], minlength=len(docs))
-            tails = np.column_stack([np.ones(len(docs)), *(sigmoid(score - t) for t in thresholds), np.zeros(len(docs))])
-            upper, lower = tails[np.arange(len(docs)), grades], tails[np.arange(len(docs)), grades + 1]
-            p = np.maximum(upper - lower, 1e-9)
-            up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-            by_score = share * (up - low)
-            slope = np.bincount(flat, by_score[row], minlength=DIMENSIONS) - decay * weights
-            slope_t = np.array([-(share * up)[grades == k].sum() + (share * low)[grades == k - 1].sum() for k in (1, 2)])
+            _, slope, slope_t = OrdinalModel.slopes(weights, thresholds, flat, row, grades, share)
+            slope -= decay * weights
             seen += slope**2
             seen_t += slope_t**2
             weights += rate * slope / np.sqrt(seen)
@@ -129,8 +137,10 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, held_out: bool = False) -> OrdinalModel:
     """Learns from `sample` labelled documents at most, chosen by hash of their id.
 
-    held_out leaves out documents whose crc32(id) mod 4 is 2, to measure on them.
+    Texts of more than SAMPLE_BYTES teach nothing. held_out leaves out documents whose crc32(id)
+    mod 4 is 2, to measure on them. Without labels all weights are 0.
     """
+    small_batches(docs.sparkSession)
     chosen = graded(labels)
     if held_out:
         chosen = chosen.where(F.crc32(F.col("_label_id").cast("string").cast("binary")) % 4 != 2)
@@ -139,10 +149,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features.of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["_grade", "_features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features.of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["_label_id", "_grade", "_features"])
 
-    # At most `sample` rows of two numbers.
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id")).select("_grade", whole(text_col).alias("_text")).mapInArrow(run, "_grade int, _features binary").collect()
+    # Ids and grades are broadcast, texts stay. Rows with one id teach once, so at most `sample` rows come.
+    labelled = docs.where(F.octet_length(whole(text_col)) <= SAMPLE_BYTES).select(F.col(id_col).alias("_doc_id"), whole(text_col).alias("_text"))
+    kind = chosen.schema["_label_id"].dataType.simpleString()
+    taught = labelled.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select("_label_id", "_grade", "_text").mapInArrow(run, f"_label_id {kind}, _grade int, _features binary")
+    rows = taught.groupBy("_label_id").agg(F.min(F.struct("_grade", "_features")).alias("_x")).select("_x.*").collect()
     rows.sort(key=lambda r: (r["_grade"], bytes(r["_features"])))
     return OrdinalModel.fit([np.frombuffer(r["_features"], np.int32) for r in rows], np.array([r["_grade"] for r in rows], dtype=int))
 
@@ -151,10 +164,12 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     """For each row: id, expected_grade, p_good (the tail probability of grade 2), kept (p_good >= 0.5).
 
     Null counts as empty; an empty text has no features and gets the thresholds' own
-    probabilities. Repeated rows are scored alike; other columns don't matter.
+    probabilities. Very long texts are scored whole, repeated rows alike; an empty table gives an
+    empty table; other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     verdict = verdicts(model)
-    return docs.select(F.col(id_col), verdict(whole(text_col)).alias("_v")).select(id_col, "_v.expected_grade", "_v.p_good", (F.col("_v.p_good") >= 0.5).alias("kept"))
+    return docs.select(F.col(id_col).alias("_id"), verdict(whole(text_col)).alias("_v")).select(F.col("_id").alias(id_col), "_v.expected_grade", "_v.p_good", (F.col("_v.p_good") >= 0.5).alias("kept"))
 
 
 def verdicts(model: OrdinalModel):
@@ -172,11 +187,14 @@ def verdicts(model: OrdinalModel):
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learns from labels (doc_id, quality, toxic) and scores all documents; see score_quality."""
+    """Learns from labels (doc_id, quality, toxic) and scores all documents; see fit_quality and score_quality.
+
+    Labels without an id or without a quality don't count, and of repeated ones the lowest does.
+    """
     return score_quality(docs, fit_quality(docs, labels, id_col, text_col), id_col, text_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs that the classifier keeps, with all their columns, whatever these are called."""
     verdict = verdicts(fit_quality(docs, labels, id_col, text_col))
     return docs.where(verdict(whole(text_col))["p_good"] >= 0.5)
