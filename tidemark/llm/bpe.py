@@ -38,12 +38,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """Refuses files of other kinds: what is encoded here is byte-level BPE, words split by WORDS, nothing normalised."""
+    model, before = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    by_words = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    if model.get("type", "BPE") != "BPE" or not plain or not by_words or spec.get("normalizer"):
+        raise ValueError("not a file of byte-level BPE over the usual words")
+
+
 class WordBpe:
     """The vocabulary of one tokenizer file, with trie encoding and table decoding."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -236,8 +246,8 @@ def slices(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[i
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `out`, an array<int> of token ids of the whole text, in one pass without a shuffle.
 
-    Null and empty texts give an empty array; repeated rows give equal arrays; an empty table
-    gives an empty table. The columns of `keep` pass through, all if it is None; others are
+    Null and empty texts give an empty array; very long texts are encoded whole; repeated rows
+    give equal arrays; an empty table gives an empty table. The columns of `keep` pass through, all if it is None; others are
     neither read nor sent back by the workers. `out` must be a new name.
     """
     keep = df.columns if keep is None else keep
@@ -279,7 +289,9 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Encodes each whole text, decodes the ids, and returns digests of both.
 
     One row for each row of df: id, n_tokens, ids_sha256 (decimal ids joined by commas),
-    decoded_sha256 (UTF-8). Null counts as empty: 0 tokens and the digests of nothing.
+    decoded_sha256 (UTF-8). Null counts as empty: 0 tokens and the digests of nothing. Very long
+    texts are worked on whole, repeated rows alike; an empty table gives an empty table; other
+    columns don't matter.
     The ids don't leave the worker that makes them.
     """
 
