@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +34,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
-#: What parts the same words in Spark.
-NO_LETTERS = r"[^\p{L}\p{Nl}\p{No}]+"
+#: Terms that a task counts before it hands the counts on.
+COUNTED = 200_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -133,6 +134,26 @@ def scan_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), whole(text_col).alias("_text")).mapInArrow(run, schema)
 
 
+def terms_of(text: str) -> set[str]:
+    return {m.lower() for m in TERM.findall(text)}
+
+
+def counted_terms(df: DataFrame, text_col: str) -> DataFrame:
+    """(term, c_t): in how many rows each term stands, counted in the workers before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(terms_of(text.as_py()))
+                if len(seen) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+
+    return df.select(whole(text_col).alias("_text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
+
+
 def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, disclosure: float) -> DataFrame:
     """For each row that has some: _row and revealing, its revealing terms parted by spaces."""
     n = scanned.count()
@@ -145,11 +166,8 @@ def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, disclosure
         return scanned.select("_row", F.lit("").alias("revealing")).limit(0)
     beside = beside.join(entities, "entity")
     bounds = beside.groupBy("_row").agg(F.max(most).alias("most"))
-    # Counted for each task before the shuffle, so a frequent word is a row for each task.
-    words = df.select(F.explode(F.array_distinct(F.split(F.lower(whole(text_col)), NO_LETTERS))).alias("term")).where(F.length("term") >= 4)
-    seen = words.groupBy("term").agg(F.count("*").alias("c_t"))
     held = scanned.where(F.col("terms") != "").select("_row", F.explode(F.split("terms", " ")).alias("term"))
-    rare = held.join(seen, "term", "left").withColumn("c_t", F.coalesce("c_t", F.lit(0))).where(F.col("c_t") <= ceiling)
+    rare = held.join(counted_terms(df, text_col), "term").where(F.col("c_t") <= ceiling)
     rare = durable(rare.join(bounds, "_row").where(F.col("c_t") <= F.col("most")).drop("most"))
     pairs = rare.join(beside, "_row").groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("mark").alias("wordings"), F.max("c_t").alias("c_t"), F.max("c_e").alias("c_e"))
     known = F.log2(F.lit(n) / F.col("c_e"))
@@ -178,9 +196,10 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     spans lists kind:start:end of the entities and then of revealing terms (kind `term`), which
     never overlap entities. `disclosure` is the share of an entity's information that a term
-    must give away; terms are judged and marked over the whole of an entity's documents. Null
-    counts as empty: no spans. Repeated rows each have their result; an empty table gives an
-    empty table; other columns don't matter.
+    must give away; terms are judged and marked over the whole of an entity's documents, however
+    long. In documents without the entity they stay: with the entity's own documents clean, they
+    lead nowhere. Null counts as empty: no spans. Repeated rows each have their result; an empty
+    table gives an empty table; other columns don't matter.
     """
     small_batches(df.sparkSession)
     scanned = durable(scan_personal(df, id_col, text_col))
