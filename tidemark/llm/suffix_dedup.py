@@ -8,8 +8,11 @@ order is then verified on the bytes.
 Only suffixes that can repeat are sorted. Winnowing picks anchors, 20-byte grams whose hash is
 the least of some run of 81, so every 100-byte string holds an anchor that its copies hold at
 the same place. An anchor seen once has no copies; the others go with the bytes around them to
-the task of their hash. Texts move once, to groups of documents, and three steps read that one
-shuffle: finding anchors, cutting out repeated ones with their surroundings, removing bytes.
+the task of their hash. Anchors with very many places would fill that task, so theirs go on as
+single 100-byte strings: of these again only repeated ones move, one of each group of documents,
+to the task of the string's hash, where they are sorted and verified like any other suffix.
+Texts move once, to groups of documents, and four steps read that one shuffle: finding anchors,
+finding the strings of frequent ones, cutting out what is repeated, removing bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, whole
 
 LENGTH, GRAM = 100, 20
 BEFORE = LENGTH - GRAM
@@ -30,8 +33,10 @@ WIDTH = BEFORE + LENGTH
 GROUP_BYTES, LEAST_BYTES = 4 << 20, 64 << 10
 #: Groups of documents for each task that compares surroundings, at most.
 GROUPS_A_TASK = 4
-#: Anchors with more surroundings than this are split by the hash of each 100-byte string.
+#: Anchors with more surroundings than this are dealt by their 100-byte strings.
 HOT = 16_384
+#: Surroundings that are cut out at a time.
+SLICE = 16_384
 #: Positions that are hashed at a time.
 STEP = 1 << 20
 NO_ID = -(1 << 63)
@@ -103,15 +108,9 @@ class Docs:
         self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         self.bounds = offsets - offsets[0]
         self.starts, self.ends = self.bounds[:-1], self.bounds[1:]
-        self.ids = table.column("_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        # Rows with one id are put in the order of their texts.
-        self.nth = np.zeros(len(self.ids), np.int32)
-        order = np.argsort(self.ids, kind="stable")
-        same = np.flatnonzero(self.ids[order][1:] == self.ids[order][:-1])
-        for id_ in np.unique(self.ids[order][same]):
-            rows = np.flatnonzero(self.ids == id_)
-            for n, i in enumerate(sorted(rows, key=lambda i: self.data[self.starts[i] : self.ends[i]].tobytes())):
-                self.nth[i] = n
+        numbers = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+        # Documents stand in the order of id, hash of the text and row.
+        self.ids, self.hashes, self.rows = (numbers(c) for c in ("_order", "_hash", "_row"))
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, "right")
@@ -136,9 +135,11 @@ def unpack(payloads: list[bytes], *kinds: tuple[str, int]) -> list[np.ndarray]:
 
 
 ANCHOR = (("<u8", 1), ("<u2", 1))
-CONTEXT = (("<i8", 1), ("<i4", 1), ("<i4", 1), ("u1", 1), ("u1", 1), ("u1", WIDTH))
-STRING = (("<u8", 1), ("<u8", 1), ("<i8", 1), ("<i4", 1), ("<i4", 1))
-SPAN = (("<i8", 1), ("<i4", 1), ("<i4", 1), ("<i4", 1))
+#: id, hash and row of the document, place in it, then bytes before and behind the place and all of them.
+CONTEXT = (("<i8", 1), ("<i8", 1), ("<i8", 1), ("<i4", 1), ("u1", 1), ("u1", 1), ("u1", WIDTH))
+STRING = (("<i8", 1), ("<i8", 1), ("<i8", 1), ("<i4", 1), ("u1", LENGTH))
+#: Row, start and end.
+SPAN = (("<i8", 1), ("<i4", 1), ("<i4", 1))
 ROWS = "_to int, _group int, _kind int, _payload binary"
 ROWS_ARROW = pa.schema([("_to", pa.int32()), ("_group", pa.int32()), ("_kind", pa.int32()), ("_payload", pa.binary())])
 
@@ -180,67 +181,118 @@ def repeated_anchors(groups: list[int], payloads: list[bytes], most: int) -> lis
     return [(to, to, 0, pack(a, b)) for to, (a, b) in _by(group[many], h[many], hot[many])]
 
 
-def string_hashes(context: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of the 100 bytes from each place of each context."""
-    h = np.zeros((len(context), WIDTH + 1), np.uint64)
-    top = np.uint64(1)
-    for _ in range(LENGTH):
-        top = np.uint64(int(top) * int(base) & 0xFFFFFFFFFFFFFFFF)
-    for j in range(WIDTH):
-        h[:, j + 1] = h[:, j] * base + context[:, j] + np.uint64(1)
-    return h[:, LENGTH:] - h[:, : WIDTH + 1 - LENGTH] * top
+def same_bytes(rows: np.ndarray) -> np.ndarray:
+    """For each row of bytes the number of the first row that equals it."""
+    _, first, back = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+    return first[back]
+
+
+class Contexts:
+    """Distinct surroundings of anchors, those of the earliest documents, and the spans of all others."""
+
+    def __init__(self, docs: Docs, at: np.ndarray, h: np.ndarray) -> None:
+        doc = docs.doc_of(at)
+        left, right = np.minimum(BEFORE, at - docs.starts[doc]), np.minimum(LENGTH, docs.ends[doc] - at)
+        long = left + right >= LENGTH
+        at, h, doc, left, right = (x[long] for x in (at, h, doc, left, right))
+        order = np.lexsort((at, docs.rows[doc], docs.hashes[doc], docs.ids[doc]))
+        at, self.h, doc, self.left, self.right = (x[order] for x in (at, h, doc, left, right))
+        self.doc, self.place = doc, (at - docs.starts[doc]).astype(np.int32)
+        parts, chosen = [], []
+        span = np.arange(-BEFORE, LENGTH)
+        for a in range(0, len(at), SLICE):
+            where = at[a : a + SLICE, None] + span
+            inside = (span >= -self.left[a : a + SLICE, None]) & (span < self.right[a : a + SLICE, None])
+            part = np.zeros((len(where), WIDTH + 2), np.uint8)
+            part[:, :WIDTH] = np.where(inside, docs.data[np.clip(where, 0, len(docs.data) - 1)], 0)
+            part[:, WIDTH], part[:, WIDTH + 1] = self.left[a : a + SLICE], self.right[a : a + SLICE]
+            own = np.flatnonzero(same_bytes(part) == np.arange(len(part)))
+            parts.append(part[own])
+            chosen.append(own + a)
+        self.bytes = np.concatenate(parts) if parts else np.zeros((0, WIDTH + 2), np.uint8)
+        kept = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        if len(parts) > 1:
+            own = same_bytes(self.bytes) == np.arange(len(kept))
+            self.bytes, kept = self.bytes[own], kept[own]
+        later = np.ones(len(at), bool)
+        later[kept] = False
+        self.spans = (docs.rows[doc[later]], (self.place - self.left)[later], (self.place + self.right)[later])
+        self.h, self.doc, self.left, self.right, self.place = (x[kept] for x in (self.h, self.doc, self.left, self.right, self.place))
+
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the 100-byte strings in the chosen surroundings: number of the surroundings, offset in them, hash; in order of time."""
+        out = []
+        top = np.uint64(pow(int(BASES[1]), LENGTH, 1 << 64))
+        for a in range(0, len(which), SLICE):
+            w = which[a : a + SLICE]
+            h = np.zeros((len(w), WIDTH + 1), np.uint64)
+            for j in range(WIDTH):
+                h[:, j + 1] = h[:, j] * BASES[1] + self.bytes[w, j] + np.uint64(1)
+            h = h[:, LENGTH:] - h[:, : WIDTH + 1 - LENGTH] * top
+            offset = np.arange(BEFORE + 1)
+            i, o = np.nonzero((offset >= BEFORE - self.left[w, None]) & (offset - BEFORE + LENGTH <= self.right[w, None]))
+            out.append((w[i], o, h[i, o]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def cut(self, i: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """The bytes of strings."""
+        return self.bytes.reshape(-1)[(i * (WIDTH + 2) + o)[:, None] + np.arange(LENGTH)]
+
+
+def find_strings(docs: Docs, group: int, tasks: int, hot: np.ndarray) -> list[tuple]:
+    """Distinct hashes of the strings around frequent anchors with their counts, packed for the tasks of the hashes."""
+    if not len(hot):
+        return []
+    at, h = anchors(docs.data, docs.ends)
+    chosen = np.isin(h, hot)
+    found = Contexts(docs, at[chosen], h[chosen])
+    h, n = np.unique(found.strings(np.arange(len(found.h)))[2], return_counts=True)
+    n = np.minimum(n, 65535).astype(np.uint16)
+    return [(to, group, 0, pack(a, b)) for to, (a, b) in _by((h % np.uint64(tasks)).astype(np.int64), h, n)]
 
 
-def cut_contexts(docs: Docs, group: int, tasks: int, known: np.ndarray, hot: np.ndarray) -> list[tuple]:
-    """Surroundings of repeated anchors. Copies within the group are settled here: the later ones become spans at once."""
+def cut_contexts(docs: Docs, group: int, tasks: int, known: np.ndarray, hot: np.ndarray, strings: np.ndarray) -> list[tuple]:
+    """Surroundings of repeated anchors, and repeated strings of hot ones. Copies within the group are settled here: the later ones become spans at once."""
     at, h = anchors(docs.data, docs.ends)
     _, back, n = np.unique(h, return_inverse=True, return_counts=True)
     chosen = (n[back] > 1) | np.isin(h, known)
-    at, h = at[chosen], h[chosen]
-    doc = docs.doc_of(at)
-    left, right = np.minimum(BEFORE, at - docs.starts[doc]), np.minimum(LENGTH, docs.ends[doc] - at)
-    long = left + right >= LENGTH
-    at, h, doc, left, right = (x[long] for x in (at, h, doc, left, right))
-    order = np.lexsort((at, docs.nth[doc], docs.ids[doc]))
-    at, h, doc, left, right = (x[order] for x in (at, h, doc, left, right))
-    place = (at - docs.starts[doc]).astype(np.int32)
-    context = np.zeros((len(at), WIDTH + 2), np.uint8)
-    span = np.arange(-BEFORE, LENGTH)
-    for a in range(0, len(at), 8192):
-        where = at[a : a + 8192, None] + span
-        inside = (span >= -left[a : a + 8192, None]) & (span < right[a : a + 8192, None])
-        context[a : a + 8192, :WIDTH] = np.where(inside, docs.data[np.clip(where, 0, max(0, len(docs.data) - 1))], 0) if len(docs.data) else 0
-    context[:, WIDTH], context[:, WIDTH + 1] = left, right
-    out = []
-    first = np.zeros(len(at), bool)
-    if len(at):
-        _, index = np.unique(context.view(f"V{WIDTH + 2}")[:, 0], return_index=True)
-        first[index] = True
-    spans = [(docs.ids[doc[~first]], docs.nth[doc[~first]], (place - left)[~first].astype(np.int32), (place + right)[~first].astype(np.int32))]
-    at, h, doc, left, right, place, context = (x[first] for x in (at, h, doc, left, right, place, context))
-    ids, nth = docs.ids[doc], docs.nth[doc]
-    warm = np.isin(h, hot)
+    found = Contexts(docs, at[chosen], h[chosen])
+    name = lambda doc: (docs.ids[doc], docs.hashes[doc], docs.rows[doc])
+    spans, out = [found.spans], []
+    warm = np.isin(found.h, hot)
     if warm.any():
-        c, w = context[warm, :WIDTH], np.flatnonzero(warm)
-        ok = (np.arange(BEFORE + 1) >= BEFORE - left[w, None]) & (np.arange(BEFORE + 1) - BEFORE + LENGTH <= right[w, None])
-        i, o = np.nonzero(ok)
-        h1, h2 = string_hashes(c, BASES[0])[i, o], string_hashes(c, BASES[1])[i, o]
-        begin = (place[w][i] + o - BEFORE).astype(np.int32)
-        order = np.lexsort((begin, nth[w][i], ids[w][i], h2, h1))
-        h1, h2, begin, i = h1[order], h2[order], begin[order], w[i[order]]
-        keep = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        i, o, h = found.strings(np.flatnonzero(warm))
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        elsewhere = np.isin(h, strings)
+        few = np.flatnonzero((n[back] > 1) | elsewhere)
+        few = few[np.lexsort((found.place[i[few]] + o[few], docs.rows[found.doc[i[few]]], docs.hashes[found.doc[i[few]]], docs.ids[found.doc[i[few]]]))]
+        i, o, h, elsewhere = (x[few] for x in (i, o, h, elsewhere))
+        begin, row = (found.place[i] + o - BEFORE).astype(np.int32), docs.rows[found.doc[i]]
+        first, order = np.arange(len(i)), np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(h) else np.zeros(0, np.int64)
+        cuts = [0]
+        for a in new[1:].tolist():  # whole runs of one hash, some at a time
+            if a - cuts[-1] >= SLICE:
+                cuts.append(a)
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            w = order[a:b]
+            if len(w):
+                by_time = np.sort(w)
+                first[by_time] = by_time[same_bytes(found.cut(i[by_time], o[by_time]))]
         # A string may have several anchors; in its own place it is no copy.
-        first = np.flatnonzero(keep)[np.cumsum(keep) - 1]
-        same = (ids[i] != ids[i[first]]) | (nth[i] != nth[i[first]]) | (begin != begin[first])
-        spans.append((ids[i[same]], nth[i[same]], begin[same], begin[same] + LENGTH))
-        for to, arrays in _by((h1[keep] % np.uint64(tasks)).astype(np.int64), h1[keep], h2[keep], ids[i[keep]], nth[i[keep]], begin[keep]):
-            out.append((to, group, 2, pack(*arrays)))
-    cold = ~warm
-    for to, arrays in _by((h[cold] % np.uint64(tasks)).astype(np.int64), ids[cold], nth[cold], place[cold], left[cold].astype(np.uint8), right[cold].astype(np.uint8), context[cold, :WIDTH]):
-        out.append((to, group, 0, pack(*arrays)))
-    ids, nth, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-    if len(ids):
-        out.append((group % tasks, group, 1, pack(ids, nth, begin, end.astype(np.int32))))
+        copy = (row != row[first]) | (begin != begin[first])
+        spans.append((row[copy], begin[copy], begin[copy] + LENGTH))
+        sent = np.flatnonzero((first == np.arange(len(i))) & elsewhere)
+        for to, (w,) in _by((h[sent] % np.uint64(tasks)).astype(np.int64), sent):
+            for a in range(0, len(w), 16 * SLICE):
+                part = w[a : a + 16 * SLICE]
+                out.append((to, group, 2, pack(*name(found.doc[i[part]]), begin[part], found.cut(i[part], o[part]))))
+    cold = np.flatnonzero(~warm)
+    for to, (w,) in _by((found.h[cold] % np.uint64(tasks)).astype(np.int64), cold):
+        out.append((to, group, 0, pack(*name(found.doc[w]), found.place[w], found.left[w].astype(np.uint8), found.right[w].astype(np.uint8), found.bytes[w, :WIDTH])))
+    rows, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+    if len(rows):
+        out.append((group % tasks, group, 1, pack(rows, begin.astype(np.int32), end.astype(np.int32))))
     return out
 
 
@@ -326,60 +378,71 @@ class HashedSuffixes:
         return True
 
 
-def compared_contexts(groups: np.ndarray, ids, nth, place, left, right, context) -> tuple[np.ndarray, ...]:
-    """Spans of contexts' strings that an earlier context has too: (group, id, nth, start, end)."""
+def compared_contexts(groups: np.ndarray, ids, hashes, rows, place, left, right, context) -> tuple[np.ndarray, ...]:
+    """Spans of contexts' strings that an earlier context has too: (group, row, start, end)."""
     left, right = left.astype(np.int64), right.astype(np.int64)
-    time = np.lexsort((place, nth, ids))  # contexts from the earliest on
-    groups, ids, nth, place, left, right, context = (x[time] for x in (groups, ids, nth, place, left, right, context))
+    time = np.lexsort((place, rows, hashes, ids))  # contexts from the earliest on
+    groups, rows, place, left, right, context = (x[time] for x in (groups, rows, place, left, right, context))
     marked = np.concatenate((context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
-    first = np.zeros(len(ids), bool)
-    first[np.unique(marked.view(f"V{WIDTH + 2}")[:, 0], return_index=True)[1]] = True
-    whole_ = tuple(x[~first] for x in (groups, ids, nth, place - left, place + right))
+    first = same_bytes(marked) == np.arange(len(rows))
+    whole_ = tuple(x[~first] for x in (groups, rows, place - left, place + right))
     # Anchors with one context have no more copies.
-    _, anchor, count = np.unique(np.ascontiguousarray(context[:, BEFORE:LENGTH]).view(f"V{GRAM}")[:, 0], return_inverse=True, return_counts=True)
-    several = np.bincount(anchor[first], minlength=len(count))[anchor] > 1
+    anchor = same_bytes(context[:, BEFORE:LENGTH])
+    several = np.bincount(anchor[first], minlength=len(anchor))[anchor] > 1
     few = np.flatnonzero(first & several)
     if not len(few):
         return whole_
-    found = _distinct_contexts(*(x[few] for x in (groups, ids, nth, place, left, right, context)))
+    found = _distinct_contexts(*(x[few] for x in (groups, rows, place, left, right, context)))
     return tuple(np.concatenate(x) for x in zip(whole_, found, strict=True))
 
 
-def _distinct_contexts(groups, ids, nth, place, left, right, context) -> tuple[np.ndarray, ...]:
+def _distinct_contexts(groups, rows, place, left, right, context) -> tuple[np.ndarray, ...]:
     """compared_contexts for contexts in order of time that all differ, of anchors with more than one."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
     order, shared = HashedSuffixes(np.ascontiguousarray(context[:, BEFORE:])).sorted()
     run = np.cumsum(shared < GRAM)
     keep = np.bincount(run)[run] > 1
     if not keep.any():
         return none
-    kept = np.zeros(len(ids), bool)
+    kept = np.zeros(len(rows), bool)
     kept[order[keep]] = True
     at = np.flatnonzero(keep)
     shared_kept = shared[at]
     shared_kept[np.flatnonzero(np.diff(at) > 1) + 1] = 0  # what lay between was another anchor
     number = np.cumsum(kept) - 1
     right_order = number[order[keep]]
-    groups, ids, nth, place, left, right, context = (x[kept] for x in (groups, ids, nth, place, left, right, context))
+    groups, rows, place, left, right, context = (x[kept] for x in (groups, rows, place, left, right, context))
     left_order, left_shared = HashedSuffixes(np.ascontiguousarray(context[:, :BEFORE][:, ::-1])).sorted()
-    n = len(ids)
+    n = len(rows)
     time = np.arange(n)
     most, least = np.full(n, -1), np.full(n, LENGTH)
     by_right, by_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for back in range(BEFORE + 1):
         by_right[right_order] = np.cumsum(shared_kept < LENGTH - back)
         by_left[left_order] = np.cumsum(left_shared < back) if back else 0
-        rows = time[(left[time] >= back) & (right[time] >= LENGTH - back)]
-        if len(rows) < 2:
+        fits = time[(left[time] >= back) & (right[time] >= LENGTH - back)]
+        if len(fits) < 2:
             continue
-        _, first = np.unique(by_right[rows] * (n + 1) + by_left[rows], return_index=True)
-        later = np.ones(len(rows), bool)
+        _, first = np.unique(by_right[fits] * (n + 1) + by_left[fits], return_index=True)
+        later = np.ones(len(fits), bool)
         later[first] = False
-        rows = rows[later]
-        most[rows] = np.maximum(most[rows], back)
-        least[rows] = np.minimum(least[rows], back)
+        fits = fits[later]
+        most[fits] = np.maximum(most[fits], back)
+        least[fits] = np.minimum(least[fits], back)
     hit = most >= 0
-    return groups[hit], ids[hit], nth[hit], (place - most)[hit], (place - least + LENGTH)[hit]
+    return groups[hit], rows[hit], (place - most)[hit], (place - least + LENGTH)[hit]
+
+
+def compared_strings(groups: np.ndarray, ids, hashes, rows, begin, strings) -> tuple[np.ndarray, ...]:
+    """Spans of the strings that have an earlier copy: (group, row, start, end)."""
+    time = np.lexsort((begin, rows, hashes, ids))
+    groups, rows, begin, strings = (x[time] for x in (groups, rows, begin, strings))
+    order, shared = HashedSuffixes(strings).sorted()
+    run = np.cumsum(shared < LENGTH) - 1
+    first = np.full(len(order), len(order))
+    np.minimum.at(first, run, order)
+    copy = order[order != first[run]]
+    return groups[copy], rows[copy], begin[copy], begin[copy] + LENGTH
 
 
 def compare(groups: list[int], kinds: list[int], payloads: list[bytes]) -> list[tuple]:
@@ -393,29 +456,21 @@ def compare(groups: list[int], kinds: list[int], payloads: list[bytes]) -> list[
         spans.append(compared_contexts(group, *unpack([p for _, p in by_kind[0]], *CONTEXT)))
     if by_kind[2]:
         group = np.repeat([g for g, _ in by_kind[2]], [len(p) // size(STRING) for _, p in by_kind[2]])
-        h1, h2, ids, nth, begin = unpack([p for _, p in by_kind[2]], *STRING)
-        order = np.lexsort((begin, nth, ids, h2, h1))
-        h1, h2, ids, nth, begin, group = (x[order] for x in (h1, h2, ids, nth, begin, group))
-        same = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
-        spans.append((group[same], ids[same], nth[same], begin[same], begin[same] + LENGTH))
+        spans.append(compared_strings(group, *unpack([p for _, p in by_kind[2]], *STRING)))
     if spans:
-        group, ids, nth, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-        for g, arrays in _by(group, ids.astype(np.int64), nth.astype(np.int32), begin.astype(np.int32), end.astype(np.int32)):
+        group, rows, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        for g, arrays in _by(group, rows.astype(np.int64), begin.astype(np.int32), end.astype(np.int32)):
             out.append((g, g, 1, pack(*arrays)))
     return out
 
 
 def remove_spans(docs: Docs, payloads: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Which bytes of the group's run go, and each document's rest."""
-    ids, nth, begin, end = unpack(payloads, *SPAN)
+    rows, begin, end = unpack(payloads, *SPAN)
     change = np.zeros(len(docs.data) + 1, np.int32)
-    if len(ids):
-        own = np.lexsort((docs.nth, docs.ids))
-        key = np.array(list(zip(docs.ids[own].tolist(), docs.nth[own].tolist(), strict=True)), dtype=[("i", "<i8"), ("n", "<i4")])
-        asked = np.empty(len(ids), key.dtype)
-        asked["i"], asked["n"] = ids, nth
-        distinct, back = np.unique(asked, return_inverse=True)
-        doc = own[np.searchsorted(key, distinct)][back]
+    if len(rows):
+        own = np.argsort(docs.rows)
+        doc = own[np.searchsorted(docs.rows, rows, sorter=own)]
         np.add.at(change, docs.starts[doc] + begin, 1)
         np.add.at(change, docs.starts[doc] + end, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -432,17 +487,19 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A 100-byte string is a copy if it starts earlier too: in a smaller id, or further ahead in
     the same document. Null ids are the smallest; rows with one id follow each other in the
-    order of their bytes. Null counts as empty; texts under 100 bytes lose nothing. Ids are
-    integers. An empty table gives an empty table; other columns don't matter. hot_places changes
-    how strings are compared, not the result.
+    order of their texts' 64-bit hashes, equal rows as they are read. Null counts as empty; texts
+    under 100 bytes lose nothing, very long ones are worked on whole, by the worker that has their
+    group. Ids are integers. An empty table gives an empty table; other columns don't matter.
+    hot_places changes where strings are compared, not the result.
     """
     spark = df.sparkSession
     own = partitions(spark)
-    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_groups = max(-(-total // GROUP_BYTES), min(own, -(-total // LEAST_BYTES)), 1)
     tasks = task_count(n_groups, own)
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), data.alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_groups)).cast("int").alias("_group"))
+    id_, row = F.col(id_col).cast("long"), F.monotonically_increasing_id()
+    texts = df.select(id_.alias("_id"), F.coalesce(id_, F.lit(NO_ID)).alias("_order"), F.xxhash64(whole(text_col)).alias("_hash"), row.alias("_row"), whole(text_col).cast("binary").alias("_text"))
+    texts = texts.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(n_groups)).cast("int"))
 
     def step1(table: pa.Table) -> pa.Table:
         return _rows(find_anchors(Docs(table), table.column("_group")[0].as_py(), tasks))
@@ -450,11 +507,18 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def step2(table: pa.Table) -> pa.Table:
         return _rows(repeated_anchors(table.column("_group").to_pylist(), table.column("_payload").to_pylist(), hot_places))
 
-    def step3(table: pa.Table, lists: pa.Table) -> pa.Table:
+    def find_frequent(table: pa.Table, lists: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
         known, hot = unpack(lists.column("_payload").to_pylist(), *ANCHOR)
-        return _rows(cut_contexts(Docs(table), table.column("_group")[0].as_py(), tasks, known, known[hot == 1]))
+        return _rows(find_strings(Docs(table), table.column("_group")[0].as_py(), tasks, known[hot == 1]))
+
+    def cut_out(table: pa.Table, lists: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([])
+        by_kind = [[p for k, p in zip(lists.column("_kind").to_pylist(), lists.column("_payload").to_pylist(), strict=True) if k == kind] for kind in (0, 3)]
+        (known, hot), (strings, _) = (unpack(p, *ANCHOR) for p in by_kind)
+        return _rows(cut_contexts(Docs(table), table.column("_group")[0].as_py(), tasks, known, known[hot == 1], strings))
 
     def step4(table: pa.Table) -> pa.Table:
         return _rows(compare(table.column("_group").to_pylist(), table.column("_kind").to_pylist(), table.column("_payload").to_pylist()))
@@ -477,7 +541,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_group = texts.groupBy("_group")
     found = by_group.applyInArrow(step1, ROWS)
     lists = found.groupBy("_to").applyInArrow(step2, ROWS).drop("_group").withColumnRenamed("_to", "_group")
-    cut = by_group.cogroup(lists.groupBy("_group")).applyInArrow(step3, ROWS)
+    strings = by_group.cogroup(lists.groupBy("_group")).applyInArrow(find_frequent, ROWS)
+    repeated = strings.groupBy("_to").applyInArrow(step2, ROWS).drop("_group").withColumnRenamed("_to", "_group").withColumn("_kind", F.lit(3))
+    cut = by_group.cogroup(lists.unionByName(repeated).groupBy("_group")).applyInArrow(cut_out, ROWS)
     spans = cut.groupBy("_to").applyInArrow(step4, ROWS).drop("_group").withColumnRenamed("_to", "_group")
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     out = by_group.cogroup(spans.groupBy("_group")).applyInArrow(step5, schema)
