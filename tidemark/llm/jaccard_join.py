@@ -7,8 +7,11 @@ that are small are compared by brute force, larger ones are split at the next le
 independent runs repeat this until the target recall. Pairs that look alike by their sketches
 tie nodes into candidate components, within which exact Jaccard similarities decide.
 
-Groups too large for one task are cut into blocks, and every pair of blocks has a task of its
-own; links are counted where they are found, so no list of pairs is ever made.
+Groups too large for one task are cut into blocks, and every pair of blocks is compared on its
+own; links are counted where they are found, so no list of pairs is ever made. Pairs of blocks are
+dealt to so many slots that a slot has about as many rows and bytes however large a group is. The
+exact number of links has its price: a group of n different texts is n / 2048 times sent and n x n / 2
+times compared, if only in products of matrices.
 """
 
 from __future__ import annotations
@@ -16,21 +19,24 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, partitions, row_key, whole
+from tidemark.llm.common import durable, one_of_each, partitions, row_key, small_batches, whole
 from tidemark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Length of the sketch, levels of the tree, nodes of a bucket that isn't split further, nodes of a block.
 SKETCH, DEPTH, SMALL, BLOCK = 64, 3, 256, 2048
-#: Nodes for each task that compares buckets, on average at most.
-NODES_A_SLOT = 4096
+#: Nodes, and bytes of their texts, that are compared together, on average at most.
+NODES_A_SLOT, BYTES_A_SLOT = 4096, 16 << 20
+#: Shingles that are multiplied at a time.
+COLUMNS = 4096
 RECALL = 0.999
 #: Deviations of a sketch's estimate that a candidate may lie below the similarity.
 SLACK = 4.0
@@ -97,19 +103,20 @@ def set_name(s: np.ndarray) -> bytes:
 
 
 def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: _row, _id, _key (of the row), _set (name of the set; null if empty), _sketch."""
+    """For each row: _row, _id, _key (of the row), _bytes, _set (name of the set; null if empty), _sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column(3)]
+            sets = [shingles(t.as_py(), words) for t in batch.column(4)]
             names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
             sketches = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), names, sketches], names=["_row", "_id", "_key", "_set", "_sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], names, sketches], names=["_row", "_id", "_key", "_bytes", "_set", "_sketch"])
 
     key = row_key(id_col, text_col)
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), key.alias("_key"), whole(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_row long, _id {df.schema[id_col].dataType.simpleString()}, _key string, _set binary, _sketch binary")
+    small_batches(df.sparkSession)
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), key.alias("_key"), F.octet_length(whole(text_col)).cast("long").alias("_bytes"), whole(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"_row long, _id {df.schema[id_col].dataType.simpleString()}, _key string, _bytes long, _set binary, _sketch binary")
 
 
 def chosen_paths(nodes: DataFrame, paths: DataFrame | None, runs: int) -> DataFrame:
@@ -161,6 +168,23 @@ def in_blocks(df: DataFrame, group: str, node: str, n: str) -> DataFrame:
     return df.withColumn("_b", F.explode(pairs)).select("*", "_b.*").drop("_b")
 
 
+def times_sent(n: str) -> Column:
+    """In how many pairs of blocks a node of a group of n is."""
+    return F.when(F.col(n) <= BLOCK, 1).otherwise(F.ceil(F.col(n) / BLOCK)).cast("long")
+
+
+def slot_count(groups: DataFrame, n: str, size: str | None = None) -> int:
+    """Slots among which all pairs of blocks of groups' nodes are dealt, by their rows and, if given, their bytes."""
+    sent = times_sent(n)
+    sums = groups.agg(F.sum(sent).alias("rows"), F.sum(sent * F.col(size) if size else F.lit(0)).alias("bytes")).first()
+    return max(4 * partitions(groups.sparkSession), (sums["rows"] or 0) // NODES_A_SLOT, (sums["bytes"] or 0) // BYTES_A_SLOT)
+
+
+def in_slots(df: DataFrame, group: str, slots: int) -> DataFrame:
+    """Adds _slot to rows of in_blocks: a pair of blocks is in one slot."""
+    return df.withColumn("_slot", F.pmod(F.xxhash64(group, "_i", "_j"), F.lit(slots)))
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each node's component."""
     up = np.arange(n)
@@ -201,7 +225,7 @@ def alike(left: np.ndarray, right: np.ndarray | None, least: float) -> tuple[np.
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidate_edges(nodes: DataFrame, found: DataFrame, slots: int) -> DataFrame:
+def candidate_edges(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """A forest of (a, b) over the nodes of each bucket that look alike."""
     least = SKETCH * max(0.0, SIMILARITY - SLACK * math.sqrt(SIMILARITY * (1 - SIMILARITY) / SKETCH))
 
@@ -230,51 +254,62 @@ def candidate_edges(nodes: DataFrame, found: DataFrame, slots: int) -> DataFrame
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     rows = in_blocks(found, "path", "node", "n").join(nodes.select("node", "_sketch"), "node")
-    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("path", "_i", "_j"), F.lit(slots)))
-    return rows.groupBy("_slot").applyInArrow(compare, "a long, b long")
+    return in_slots(rows, "path", slot_count(found, "n")).groupBy("_slot").applyInArrow(compare, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, within: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets with the similarity; across the sides only, unless within."""
+    """Index pairs of sets with the similarity; across the sides only, unless within. Counts are integers, so exact."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, right = (np.arange(n), np.arange(n)) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    place = np.zeros(n, np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), sizes)
     shared = count[column] > 1
-    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    row, column = row[shared], column[shared]
+    # Shingles in the order of the first set that has them: neighbours then are in much the same sets.
+    _, first, column = np.unique(column, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    column = number[column]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    width = 4096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        low, high = np.searchsorted(column, (first, first + width))
-        m = np.zeros((n, width), np.float32)
-        m[row[low:high], column[low:high] - first] = 1
-        both += m @ m.T
-    # Counts below 2^24 are exact in single precision.
-    enough = both * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6 * sizes[:, None]
-    a, b = np.nonzero(enough)
-    ok = (a < b) if within else (side[a] < side[b])
-    return a[ok], b[ok]
+    both = np.zeros((len(left), len(right)), np.int32)
+    for a in range(0, len(first), COLUMNS):
+        low, high = np.searchsorted(column, (a, a + COLUMNS))
+        active, at = np.unique(row[low:high], return_inverse=True)
+        m = np.zeros((len(active), COLUMNS), np.float32)
+        m[at, column[low:high] - a] = 1
+        i, j = (np.arange(len(active)), np.arange(len(active))) if within else (np.flatnonzero(side[active] == 0), np.flatnonzero(side[active] == 1))
+        if len(i) and len(j):
+            both[np.ix_(place[active[i]], place[active[j]])] += (m[i] @ m[j].T).astype(np.int32)
+    ratio = Fraction(str(similarity))
+    found = []
+    for a in range(0, len(left), 256):
+        enough = both[a : a + 256].astype(np.int64) * (ratio.denominator + ratio.numerator) >= ratio.numerator * (sizes[left[a : a + 256], None] + sizes[None, right])
+        x, y = np.nonzero(enough)
+        x, y = left[x + a], right[y]
+        ok = (x < y) if within else np.ones(len(x), bool)
+        found.append((x[ok], y[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: _row, _id, _key, _class (a number), n_links."""
-    spark = df.sparkSession
     rows = durable(described(df, id_col, text_col))
     sets = rows.where(F.col("_set").isNotNull()).groupBy("_set")
-    nodes = durable(sets.agg(F.min("_row").alias("node"), F.count("*").alias("_copies"), F.first("_sketch").alias("_sketch"), F.min(F.struct("_row", "_key")).alias("_first")).select("_set", "node", "_copies", "_sketch", "_first._key"))
-    slots = max(4 * partitions(spark), nodes.count() // NODES_A_SLOT)
-    edges = candidate_edges(nodes, leaves(nodes, runs_needed()), slots)
+    nodes = durable(sets.agg(F.min("_row").alias("node"), F.count("*").alias("_copies"), F.first("_sketch").alias("_sketch"), F.min(F.struct("_row", "_key", "_bytes")).alias("_first")).select("_set", "node", "_copies", "_sketch", "_first._key", "_first._bytes"))
+    edges = candidate_edges(nodes, leaves(nodes, runs_needed()))
     near = components(edges)
     group_sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = near.join(group_sizes, "root").join(nodes.drop("_sketch"), "node")
+    members = durable(near.join(group_sizes, "root").join(nodes.drop("_sketch"), "node"))
 
     text_key = row_key(id_col, text_col)
     texts = df.select(text_key.alias("_key"), whole(text_col).alias("_text"))
     asked = members.select("_key", "root", "node", "n", "_copies")
     # Rows that are repeated many times would fill one task; one of each key is enough.
-    cut = in_blocks(texts.join(asked, "_key").dropDuplicates(["_key"]), "root", "node", "n").withColumn("_slot", F.pmod(F.xxhash64("root", "_i", "_j"), F.lit(slots)))
+    cut = in_slots(in_blocks(texts.join(asked, "_key").dropDuplicates(["_key"]), "root", "node", "n"), "root", slot_count(members, "n", "_bytes"))
 
     def verify(table: pa.Table) -> pa.Table:
         words = Words()
@@ -311,8 +346,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Documents are linked if the Jaccard similarity of their sets of five-word shingles (words
     are what white space separates, lower case) is 0.8 or more; n_links counts a row's linked
     rows, copies included, and class_id is the least id that links lead to. Texts of fewer than
-    five words are one shingle; null texts and those without words have no links. Repeated
-    rows link to each other. Null ids are no one's class_id unless all of a class are null.
+    five words are one shingle; very long ones are whole sets; null texts and those without words
+    have no links. Repeated rows link to each other. Null ids are no one's class_id unless all of a
+    class are null. An empty table gives an empty table; other columns don't matter.
     """
     rows = near_duplicates(df, id_col, text_col)
     classes = rows.groupBy("_class").agg(F.min("_id").alias("class_id"))
@@ -320,9 +356,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all columns, without near-duplicates: of each class the least id stays."""
+    """The rows of df, with all columns, whatever these are called, without near-duplicates: of each class the least id stays.
+
+    Of rows with equal id and text but different other columns the one with the least hash stays.
+    """
     rows = near_duplicates(df, id_col, text_col)
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"), F.col("_key"))
     kept = rows.groupBy("_class").agg(F.min(order).alias("_keep")).select(F.col("_keep._key").alias("_key")).distinct()
-    keyed = df.withColumn("_key", row_key(id_col, text_col))
-    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*df.columns)
+    return one_of_each(df, row_key(id_col, text_col)).join(kept, "_key", "left_semi").select("_doc.*")
