@@ -2,8 +2,8 @@
 
 Each source's documents are shuffled by a hash. A copy's virtual finish time is the number of
 its source's words up to and with it, divided by the source's target; later epochs follow the
-first. All copies are dealt by ranges of finish time and taken in that order until the budget
-is spent. DataFrame functions only.
+first. Copies are dealt by ranges of finish time and taken in that order until the budget is
+spent; a copy that would start after its source has had its target isn't in the queue. DataFrame functions only.
 
 No source is summed up in one task: its shuffle order is cut into buckets, whose sums give the
 running totals at which each bucket starts. Rows that are equal in every column are counted and
@@ -87,17 +87,12 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
     rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     rows = durable(rows.withColumn("_sofar", F.col("_before") + F.col("_local") + F.col("_nth") * F.col("size")).drop("_part", "_u", "_before", "_local", "_buckets", "_source", "_all", "_times", "_nth"))
 
-    def finish(epoch: Column) -> Column:
-        return (epoch * F.col("source_size") + F.col("_sofar")) / F.col("target")
-
-    # All copies are searched: a capped source has no more to give after time 1, so a long text can hold the budget's
-    # end back by any factor. Ranges widen with the time beyond 1, which keeps their number small.
+    # A source that has had its target rests, so what a long text leaves of the budget doesn't go to the others beyond theirs.
+    epochs = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: e * F.col("source_size") + F.col("_sofar") - F.col("size") < F.col("target"))
+    finishes = F.transform(epochs, lambda e: (e * F.col("source_size") + F.col("_sofar")) / F.col("target"))
+    # Ranges widen with the time beyond 1, which long texts alone reach; that keeps their number small.
     at = F.when(F.col("_finish") < 1, F.col("_finish")).otherwise(1 + F.log2("_finish"))
-    copies = (
-        rows.where((F.col("size") > 0) & (F.col("target") > 0))
-        .select("_rank", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), finish)).alias("_finish"))
-        .withColumn("_range", F.floor(at * many))
-    )
+    copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).select("_rank", "size", F.explode(finishes).alias("_finish")).withColumn("_range", F.floor(at * many))
     # As many sums as there are ranges: some for each shuffle partition.
     ranges = sorted((r["_range"], r["n"]) for r in copies.groupBy("_range").agg(F.sum("size").alias("n")).collect())
     spent, last = 0, None
@@ -112,10 +107,7 @@ def mix_positions(df: DataFrame, id_col: str, text_col: str, source_col: str, we
         edge = copies.where(F.col("_range") == last).withColumn("_upto", F.sum("size").over(upto) + spent)
         end = edge.agg(F.max(F.when(F.col("_upto") <= budget, F.struct("_finish", "_rank"))).alias("x"), F.min("_finish").alias("first")).first()
         cut = (end["x"]["_finish"], end["x"]["_rank"]) if end["x"] else (end["first"], -1)
-    taken = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), finish),
-        lambda f: (f < cut[0]) | ((f == cut[0]) & (F.col("_rank") <= cut[1])),
-    )
+    taken = F.filter(finishes, lambda f: (f < cut[0]) | ((f == cut[0]) & (F.col("_rank") <= cut[1])))
     return rows.withColumn("_finishes", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.array().cast("array<double>")))
 
 
@@ -124,7 +116,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     The budget is the sum of all sizes. Without weights the sources weigh 1, 2, 3, 1, ... in
     code point order, null last; a source that given weights don't name takes no part. Targets
-    stop at `most` times a source's size. Null text has size 0 and is never taken, a null
+    stop at `most` times a source's size, and what a source has taken differs from its target by
+    less than its largest document. Null text has size 0 and is never taken, a null
     source is a source, repeated rows count each, whatever their number; a very long text is
     taken whole or not at all. The shuffle depends on the rows' values and the seed alone, so
     reruns agree. An empty table gives an empty table.
