@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches, whole
+from tidemark.llm.common import small_batches, unused, whole
 
 # Fixed values of the public byte-level pre-tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -247,15 +247,13 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
     """Adds `out`, an array<int> of token ids of the whole text, in one pass without a shuffle.
 
     Null and empty texts give an empty array; very long texts are encoded whole; repeated rows
-    give equal arrays; an empty table gives an empty table. The columns of `keep` pass through, all if it is None; others are
-    neither read nor sent back by the workers. `out` must be a new name.
+    give equal arrays; an empty table gives an empty table. The columns of `keep` pass through,
+    all if it is None; others are neither read nor sent back by the workers. A column named like
+    `out` gives way to it.
     """
-    keep = df.columns if keep is None else keep
-    if out in keep:
-        raise ValueError(f"{out} is a column already")
-
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     small_batches(df.sparkSession)
-    df = df.select(*(f"`{c}`" for c in keep), F.col(text_col).alias("_whole"))
+    df = df.select(*(f"`{c}`" for c in keep), F.col(text_col).alias(unused(df, "_whole")))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +270,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds `out`, the text that the ids stand for; null ids give an empty text."""
-    if out in df.columns:
-        raise ValueError(f"{out} is a column already")
+    """Adds `out`, the text that the ids stand for; null ids give an empty text. A column named like `out` gives way to it."""
 
     @F.pandas_udf("string")
     def text_of(ids):

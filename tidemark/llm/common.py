@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder that is no longer read, now or as the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the cluster's shared checkpoint folder."""
     shared_folder(df.sparkSession)
@@ -54,6 +61,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), F.sha2(whole(text_col), 256))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identity(df: DataFrame) -> Column:
     """A hash of a whole row: rows that share it are equal in every column, nulls included."""
     each = [F.coalesce(F.sha2(F.col(f"`{c.replace('`', '``')}`").cast("string").cast("binary"), 256), F.lit("null")) for c in df.columns]

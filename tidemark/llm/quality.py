@@ -63,7 +63,7 @@ class Features:
             odd = sum(1 for w in words if not w[-1].isalnum() and not w[:-1].isalnum())
             out.add(hashed(f"odd:{int(10 * odd / len(words))}"))
             out.add(hashed(f"capitals:{int(10 * sum(w.isupper() for w in words) / len(words))}"))
-        return np.fromiter(out, dtype=np.int32, count=len(out))
+        return np.sort(np.fromiter(out, dtype=np.int32, count=len(out)))
 
 
 def sigmoid(x):

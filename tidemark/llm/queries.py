@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import oracles
 from tidemark.llm.audio import audio_digest
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.exact_dedup import exact_dedup
@@ -19,7 +21,7 @@ from tidemark.llm.sharding import pack_shards
 from tidemark.llm.suffix_dedup import dedup_substrings
 
 #: The tokenizer file; a deployment names its own.
-TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER") or str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,13 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_exact_dedup": """
-            SELECT doc_id,
-                   max(doc_id) OVER same AS keep_id,
-                   count(*) OVER same AS group_size,
-                   doc_id = max(doc_id) OVER same AS kept,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents
-            WINDOW same AS (PARTITION BY coalesce(text, ''))
-        """,
+        "op2_exact_dedup": oracles.EXACT_DEDUP,
+        "op3_sharding": oracles.SHARDS,
+        "op4_mixing": oracles.MIX,
+        "op6_suffix_dedup": oracles.SUBSTRINGS,
+        "op7_pii": oracles.PERSONAL_DATA,
+        "op10_jaccard_join": oracles.NEAR_COPIES,
     }

@@ -22,6 +22,8 @@ from tidemark.llm.common import durable, gapless, running, whole
 
 #: Items for each shard at most, so the driver packs that many times the number of shards.
 ITEMS_A_SHARD = 1024
+#: 1024ths above the least thinkable capacity that are tried, in this order.
+CAPACITIES = (*range(65), *(64 << k for k in range(1, 9)))
 
 
 class RemainingTree:
@@ -95,22 +97,12 @@ def best_fit_decreasing(histogram: Iterable[tuple[int, int]], capacity: int, mos
 
 
 def least_capacity(histogram: list[tuple[int, int]], n_bins: int) -> int:
-    """A capacity for which best-fit-decreasing needs at most n_bins, found by bisection from the mean load."""
-    total = sum(s * n for s, n in histogram)
-    low = max([-(-total // n_bins), *(s for s, _ in histogram)], default=0)
-    if best_fit_decreasing(histogram, low, n_bins) is not None:
-        return low
-    step = 1
-    while best_fit_decreasing(histogram, low + step, n_bins) is None:
-        step *= 2
-    bad, good = low + step // 2, low + step
-    while good - bad > 1:
-        mid = (bad + good) // 2
-        if best_fit_decreasing(histogram, mid, n_bins) is None:
-            bad = mid
-        else:
-            good = mid
-    return good
+    """The first capacity for which best-fit-decreasing needs at most n_bins, by 1024ths above the mean load or the largest size."""
+    least = max([-(-sum(s * n for s, n in histogram) // n_bins), *(s for s, _ in histogram)], default=0)
+    for more in CAPACITIES:
+        if best_fit_decreasing(histogram, capacity := least * (1024 + more) // 1024, n_bins) is not None:
+            return capacity
+    return least * n_bins
 
 
 def pack_shards(df: DataFrame, n_shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
