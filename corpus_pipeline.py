@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import remove, shared_folder
 from tidemark.llm.queries import TOKENIZER, table
 
 
@@ -54,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage wrote goes once the next has read it, the last as the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/tidemark-pipeline-{uuid.uuid4().hex}"
+    remove(spark, folder, at_exit=True)
     for name, stage in STAGES[:-1]:
-        at = f"{shared_folder(spark)}/tidemark-pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
