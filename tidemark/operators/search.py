@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.places import with_places
 
 
 def live_entries(records: DataFrame) -> DataFrame:
@@ -23,12 +24,12 @@ def list_order() -> list:
 
 
 def listed(entries: DataFrame) -> DataFrame:
-    """Newest first with the position as rn; a total order over all rows, so for presenting only."""
-    return entries.withColumn("rn", F.row_number().over(Window.orderBy(*list_order())))
+    """Newest first with the position as rn."""
+    return with_places(entries, list_order())
 
 
 def search(entries: DataFrame, apps: DataFrame, query: str = "", safe: bool = True) -> DataFrame:
-    """Cards in browse order, sorted by range; no single-task numbering."""
+    """Cards in browse order, sorted by range."""
     found = entries.where(C.is_safe(safe) & C.matches(query)).orderBy(*browse_order())
     return cards(found, apps)
 
@@ -41,8 +42,8 @@ def cards(entries: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Adds rn, the place in browse order, by sorting a report's rows once."""
-    return found.withColumn("rn", F.row_number().over(Window.orderBy(*browse_order())))
+    """Adds rn, the place in browse order."""
+    return with_places(found, browse_order())
 
 
 def counts(entries: DataFrame, query: str = "", safe: bool = True) -> DataFrame:
