@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def locator_uri(locator: str | Column = "locator") -> Column:
     """Canonical URI of a locator."""
     at = _col(locator)
     return (
-        F.when(at["variant"] == "Freenet", F.concat(F.lit(CONTRACT_SCHEME + ":"), at["contract_id"], at["path"]))
+        F.when(at["variant"] == "Contract", F.concat(F.lit(CONTRACT_SCHEME + ":"), at["contract_id"], at["path"]))
         .when(at["variant"] == "External", at["url"])
         .when(at["variant"] == "AppResource", F.concat(F.lit("app:"), at["app"], F.lit("/"), at["resource"], at["path"]))
     )
@@ -57,7 +59,7 @@ def with_href(entries: DataFrame, apps: DataFrame, locator: str = "locator") ->
     known = F.broadcast(apps.select(F.col("app").alias("_app"), F.col("contract_id").alias("_id"), F.col("name").alias("_name"), F.col("link_template").alias("_template")))
     href = (
         F.when(at["variant"] == "External", at["url"])
-        .when(at["variant"] == "Freenet", web_href(at["contract_id"], at["path"]))
+        .when(at["variant"] == "Contract", web_href(at["contract_id"], at["path"]))
         .otherwise(web_href(F.col("_id"), resolve_template(F.col("_template"), at["resource"], at["path"])))
     )
     host = F.when(at["variant"] == "AppResource", F.coalesce("_name", at["app"]))
@@ -88,6 +90,11 @@ def result_line(shown: Column) -> Column:
     return F.when(shown == 1, "1 result").otherwise(F.concat(shown.cast("string"), F.lit(" results")))
 
 
+def shown_line(query: str, loaded: bool, shown: Column) -> Column:
+    """result_line while one searches in what is loaded, else null."""
+    return result_line(shown) if query and loaded else F.lit(None).cast("string")
+
+
 def empty_line(loaded: bool) -> str:
     """What stands in the place of an empty list."""
     return "Nothing matches." if loaded else "Loading…"
@@ -130,7 +137,7 @@ def parse_locator(text: str | Column) -> Column:
         F.struct(F.lit("AppResource").alias("variant"), none.alias("contract_id"), none.alias("url"), F.regexp_extract(rest, "^([^/]*)/", 1).alias("app"), F.regexp_extract(after, "^([^/#?]*)", 1).alias("resource"), F.regexp_extract(after, r"(?s)^[^/#?]*(.*)\z", 1).alias("path")),
     ).when(
         own,
-        F.struct(F.lit("Freenet").alias("variant"), F.regexp_extract(rest, f"^({BASE58_RUN}*)", 1).alias("contract_id"), none.alias("url"), none.alias("app"), none.alias("resource"), F.regexp_extract(rest, rf"(?s)^{BASE58_RUN}*(.*)\z", 1).alias("path")),
+        F.struct(F.lit("Contract").alias("variant"), F.regexp_extract(rest, f"^({BASE58_RUN}*)", 1).alias("contract_id"), none.alias("url"), none.alias("app"), none.alias("resource"), F.regexp_extract(rest, rf"(?s)^{BASE58_RUN}*(.*)\z", 1).alias("path")),
     )
     error = F.when(app & ~F.contains(rest, F.lit("/")), "no resource").when(app | own, None).when(s.startswith("https://") | s.startswith("http://"), "web refused").otherwise("scheme")
     return F.struct(made.alias("locator"), error.alias("error"))
@@ -143,8 +150,17 @@ def split_tags(text: str | Column) -> Column:
 
 
 def reconcile_epoch(text: str | Column) -> Column:
-    """Seconds of an RFC 3339 time's first 19 characters, its offset ignored; null if it can't be read."""
-    return F.unix_seconds(F.try_to_timestamp(F.concat(F.replace(F.substring(_col(text), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))))
+    """Seconds of an RFC 3339 time's first 19 characters, its offset ignored; null if it can't be read.
+
+    Six numbers at fixed places. Only months (1 to 12) and days (1 to 31) are checked: what stands
+    beyond a month's end, or hour 24, counts on from there.
+    """
+    s = F.trim(_col(text))
+    digits = [F.substring(s, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
+    read = reduce(lambda a, b: a & b, (d.rlike(r"\A[+-]?[0-9]+\z") for d in digits)) & (F.octet_length(s) >= 19)
+    year, month, day, hour, minute, second = (F.when(read, d).try_cast("long") for d in digits)
+    first = F.unix_date(F.make_date(year.cast("int"), F.when(month.between(1, 12), month).cast("int"), F.lit(1)))
+    return F.when(day.between(1, 31), (first + day - 1) * 86_400 + hour * 3600 + minute * 60 + second)
 
 
 def fingerprint(sig: str | Column = "sig") -> Column:

@@ -47,6 +47,16 @@ def well_formed_subject(ids):
     return pd.Series([codec.well_formed_subject(i) for i in ids], dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def wire_bytes(bodies):
+    """codec.record_bytes of bodies in JSON."""
+    import json
+
+    import pandas as pd
+
+    return pd.Series([codec.record_bytes(json.loads(b)) for b in bodies], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def signature_ok(keys, messages, sigs):
     import pandas as pd
@@ -55,12 +65,12 @@ def signature_ok(keys, messages, sigs):
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
-    """The reason of the first rule that is broken; an unknown condition isn't broken."""
-    return F.coalesce(*(F.when(broken, F.lit(reason)) for broken, reason in rules))
+    """The reason of the first rule that is broken; what can't be told, as where a field is null, counts as broken."""
+    return F.coalesce(*(F.when(F.coalesce(broken, F.lit(True)), F.lit(reason)) for broken, reason in rules))
 
 
 def bad_vocabulary(c: Column) -> Column:
-    return ~F.octet_length(c).between(1, MAX_VOCAB) | ~c.rlike(r"\A[A-Za-z0-9_-]+\z")
+    return F.coalesce(~F.octet_length(c).between(1, MAX_VOCAB) | ~c.rlike(r"\A[A-Za-z0-9_-]+\z"), F.lit(True))
 
 
 def bad_slug(c: Column) -> Column:
@@ -81,12 +91,14 @@ def ext_bytes(ext: Column) -> Column:
 
 
 def ext_rules(ext: Column) -> list[tuple[Column, str]]:
+    """No map at all is a legal one."""
     pairs = F.map_entries(ext)
-    return [
+    rules = [
         (F.size(ext) > MAX_EXT_KEYS, "too many ext keys"),
         (F.exists(pairs, lambda p: ~F.octet_length(p["key"]).between(1, MAX_EXT_KEY) | raw_control(p["key"]) | raw_control(p["value"])), "ext entry"),
         (ext_bytes(ext) > MAX_EXT_BYTES, "ext total"),
     ]
+    return [(ext.isNotNull() & broken, reason) for broken, reason in rules]
 
 
 def locator_reason(at: Column, guard_paths: bool = True) -> Column:
@@ -95,11 +107,13 @@ def locator_reason(at: Column, guard_paths: bool = True) -> Column:
     contract = first_reason((~F.octet_length(at["contract_id"]).isin(43, 44), "contract id length"), (~base58(at["contract_id"]), "contract id charset"))
     url = [(~at["url"].startswith("https://"), "not https"), (F.octet_length(at["url"]) > MAX_URL, "url length")]
     app = first_reason((bad_slug(at["app"]), "app slug"), (~F.octet_length(at["resource"]).between(1, MAX_RESOURCE), "resource length"), (~base58(at["resource"]), "resource charset"))
-    path = path_reason(at["path"]) if guard_paths else F.lit(None).cast("string")
+    path = F.when(at["path"].isNull(), "no path")
+    if guard_paths:
+        path = F.coalesce(path, path_reason(at["path"]))
     if guard_paths:
         url.append((decoded_control(at["url"]), "url control character"))
     return (
-        F.when(at["variant"] == "Freenet", F.coalesce(contract, path))
+        F.when(at["variant"] == "Contract", F.coalesce(contract, path))
         .when(at["variant"] == "External", first_reason(*url))
         .when(at["variant"] == "AppResource", F.coalesce(app, path))
         .otherwise("unknown variant")
@@ -107,7 +121,7 @@ def locator_reason(at: Column, guard_paths: bool = True) -> Column:
 
 
 def record_reason(version: Column, subject_ok: Column, is_tomb: Column, e: Column, guard_paths: bool = True) -> Column:
-    """First broken rule of a record's structure. Tombstones have a version and an id only."""
+    """First broken rule of a record's structure. Tombstones have a version and an id only; what isn't said to be one is none."""
     head = first_reason((~version.between(1, MAX_VERSION), "version"), (~subject_ok, "subject id"))
     body = F.coalesce(
         first_reason(
@@ -115,17 +129,18 @@ def record_reason(version: Column, subject_ok: Column, is_tomb: Column, e: Colum
             (F.octet_length(e["snippet"]) > MAX_SNIPPET, "snippet length"),
             (raw_control(e["title"]), "title control character"),
             (raw_control(e["snippet"]), "snippet control character"),
-            (F.exists(e["tags"], raw_control), "tag control character"),
+            (F.coalesce(F.exists(e["tags"], raw_control), F.lit(False)), "tag control character"),
             ((F.size(e["tags"]) > MAX_TAGS) | F.exists(e["tags"], lambda t: F.octet_length(t) > MAX_TAG), "tags"),
             (bad_vocabulary(e["kind"]), "kind"),
             (e["class"].isNotNull() & bad_vocabulary(e["class"]["landing"]), "landing"),
             (e["class"].isNotNull() & bad_vocabulary(e["class"]["volatility"]), "volatility"),
             (e["verified"].isNotNull() & bad_vocabulary(e["verified"]["status"]), "status"),
             *ext_rules(e["ext"]),
+            (e["featured"].isNull() | e["added_at"].isNull(), "missing field"),
         ),
         locator_reason(e["locator"], guard_paths),
     )
-    return F.coalesce(head, F.when(~is_tomb, body))
+    return F.coalesce(head, F.when(~F.coalesce(is_tomb, F.lit(False)), body))
 
 
 def app_reason(slug: str, contract_id: str, name: str, link_template: str) -> str | None:

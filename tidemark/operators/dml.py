@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.functions import columns as C
-from tidemark.functions.validate import app_reason
+from tidemark.functions.validate import app_reason, record_reason, well_formed_subject
 from tidemark.operators.merge import State, duplicate_probe, empty_state
+from tidemark.operators.search import live_entries
 from tidemark.operators.verify import Rejected, key_auth_message, record_message, registry_message
 from tidemark.schema import ENTRY, KEY_AUTH, MAX_VERSION, RECORDS, REGISTRY, U64
 
@@ -47,12 +48,30 @@ def new_records(requests: DataFrame, now: int) -> DataFrame:
 
 
 def add(entries: DataFrame, requests: DataFrame, now: int, allow_duplicates: bool = False) -> DataFrame:
-    """new_records, with reason `duplicate` where a listed entry has the same dedup key."""
+    """new_records that may be signed; reason says why the others may not.
+
+    After what parsing refuses: `subject given twice`, then the first rule of structure that is
+    broken, then `duplicate` where a listed entry has the same dedup key, or a request whose
+    subject comes first.
+    """
     made = new_records(requests, now)
+    twice = made.groupBy("subject_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    structure = record_reason(F.col("version"), well_formed_subject("subject_id"), F.col("is_tomb"), F.col("entry"))
+    made = made.join(twice, "subject_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_n") > 1, "subject given twice"), structure)).drop("_n")
     if allow_duplicates:
         return made
-    twins = duplicate_probe(made.where("reason is null").select("subject_id", "entry.locator"), entries).select("subject_id", F.lit("duplicate").alias("_twin"))
-    return made.join(twins, "subject_id", "left").withColumn("reason", F.coalesce("reason", "_twin")).drop("_twin")
+    legal = made.where("reason is null").select("subject_id", "entry.locator")
+    listed = duplicate_probe(legal, entries).select("subject_id", F.lit(True).alias("_listed"))
+    keyed = legal.select("subject_id", C.dedup_key().alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("subject_id").alias("_first"))
+    later = keyed.join(first, "_key").where(F.col("subject_id") != F.col("_first")).select("subject_id", F.lit(True).alias("_later"))
+    made = made.join(listed, "subject_id", "left").join(later, "subject_id", "left")
+    return made.withColumn("reason", F.coalesce("reason", F.when(F.col("_listed") | F.col("_later"), "duplicate"))).drop("_listed", "_later")
+
+
+def signed_additions(made: DataFrame, seed: bytes) -> DataFrame:
+    """The records to send: what add lets pass, signed."""
+    return sign_records(as_records(made.where("reason is null")), seed).select(*as_records(made).columns)
 
 
 def tombstones(removals: DataFrame) -> DataFrame:
@@ -93,16 +112,49 @@ def next_entries(entries: DataFrame, edits: DataFrame, now: int) -> DataFrame:
     )
 
 
-def update_gate(records: DataFrame, subject_id: str, keys: list[bytes]) -> str | None:
-    """Why one record can't be edited: missing, signed by a stranger, or removed."""
-    row = records.where(F.col("subject_id") == subject_id).select("is_tomb", "by").first()
+def update_gate(state: State, subject_id: str, root: bytes, filed_as: str | None = None) -> str | None:
+    """Why the record filed under an id can't be edited; nothing is built on what isn't verified.
+
+    In this order: no key_auth, its signature, no such entry, signer, signature, filed under
+    another id, removed.
+    """
+    if not codec.well_formed_subject(subject_id):
+        return "subject id"
+    auth = state.key_auth.first()
+    if auth is None:
+        return "no key_auth"
+    keys = [bytes(k) for k in auth["authorized"]]
+    if not codec.verify(root, key_auth_message(auth["version"], keys), bytes(auth["sig"])):
+        return "key_auth signature"
+    found = state.records.where(F.col(filed_as or "subject_id") == subject_id)
+    row = found.select("subject_id", "is_tomb", "by", "sig", record_message().alias("_message")).first()
     if row is None:
         return "no such entry"
     if bytes(row["by"] or b"") not in keys:
         return "signer not authorised"
+    if not codec.verify(bytes(row["by"]), bytes(row["_message"]), bytes(row["sig"] or b"")):
+        return "bad signature"
+    if row["subject_id"] != subject_id:
+        return "filed under another id"
     return "removed" if row["is_tomb"] else None
 
 
+def update(state: State, edits: DataFrame, root: bytes, seed: bytes, now: int) -> DataFrame:
+    """The signed next record of the one entry that edits name; raises Rejected with the reason there is none."""
+    subject_id = edits.first()["subject_id"]
+    reason = update_gate(state, subject_id, root)
+    if reason:
+        raise Rejected(reason)
+    made = next_entries(live_entries(state.records.where(F.col("subject_id") == subject_id)), edits, now)
+    body = F.struct(*(c for c in made.columns if c not in ("subject_id", "version", "reason"))).cast(ENTRY)
+    record = made.select("subject_id", "version", F.lit(False).alias("is_tomb"), body.alias("entry"), "reason")
+    structure = record_reason(F.col("version"), well_formed_subject("subject_id"), F.col("is_tomb"), F.col("entry"))
+    reason = record.select(F.coalesce("reason", structure).alias("reason")).first()["reason"]
+    if reason:
+        raise Rejected(reason)
+    return signed_additions(record, seed)
+
+
 def next_registry(current: dict | None, slug: str, app: str, record: dict | None, expect_version: int | None) -> dict:
     """The registry after setting or (record None) removing an app; raises Rejected."""
     version = int(current["version"]) if current else 0

@@ -16,10 +16,19 @@ def paired(base: DataFrame, head: DataFrame) -> DataFrame:
     return head.join(old, "app_id", "left")
 
 
-def freshness_reason() -> Column:
-    """First fault of a paired record: its hash isn't the file's, or it changed without a higher version."""
-    changed = F.col("old_state").isNotNull() & (F.col("state") != F.col("old_state"))
-    return F.coalesce(F.when(F.col("code_hash") != F.col("actual_hash"), "hash"), F.when(changed & (F.col("version") <= F.col("old_version")), "version not raised"))
+def freshness_reason(signed: Column | None = None) -> Column:
+    """First fault of a paired record: its hash isn't the file's, its signature is bad, or it changed without a higher version.
+
+    signed tells whether the record's signature holds, as signature_ok does; what can't be told
+    counts as a fault.
+    """
+    changed = F.col("old_state").isNotNull() & ~F.col("state").eqNullSafe(F.col("old_state"))
+    raised = F.coalesce(F.col("version") > F.col("old_version"), F.lit(False))
+    return F.coalesce(
+        F.when(~F.coalesce(F.col("code_hash") == F.col("actual_hash"), F.lit(False)), "hash"),
+        F.lit(None).cast("string") if signed is None else F.when(~F.coalesce(signed, F.lit(False)), "signature"),
+        F.when(changed & ~raised, "version not raised"),
+    )
 
 
 def publish_decision(own: DataFrame, published: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import struct as _struct
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.functions.validate import app_reason, record_reason, signature_ok, well_formed_subject
+from tidemark.functions.validate import app_reason, record_reason, signature_ok, well_formed_subject, wire_bytes
 from tidemark.operators.merge import State, is_empty_delta, latest, merge, pick_registry
 from tidemark.schema import MAX_APPS, MAX_KEYS, MAX_RECORDS
 
@@ -18,22 +16,17 @@ class Rejected(ValueError):
 
 
 def record_message() -> Column:
-    """The bytes a record's signature covers here: its body as JSON with explicit nulls, maps by key.
-
-    The wire encoding of the signed struct isn't published with the data model, so signatures
-    verify within this engine; bytes of foreign states are out of reach.
-    """
-    ext = F.array_sort(F.map_entries("entry.ext"))
-    body = F.struct("subject_id", "version", "is_tomb", F.col("entry").dropFields("ext").alias("entry"), ext.alias("ext"))
-    return F.to_json(body, {"ignoreNullFields": "false"}).cast("binary")
+    """The bytes a record's signature covers: its body in the wire encoding."""
+    return wire_bytes(F.to_json(F.struct("subject_id", "version", "is_tomb", "entry")))
 
 
 def key_auth_message(version: int, keys: list[bytes]) -> bytes:
-    return b"key-auth" + _struct.pack(">Q", int(version)) + b"".join(keys)
+    return codec.cbor_encode({"version": int(version), "authorized": [bytes(k) for k in keys]})
 
 
 def registry_message(slug: str, version: int, apps: dict) -> bytes:
-    return codec.cbor_encode({"slug": slug, "version": int(version), "apps": {k: [v["contract_id"], v["name"], v["link_template"]] for k, v in sorted(apps.items())}})
+    fields = ("contract_id", "name", "link_template")
+    return codec.cbor_encode({"version": int(version), "index_slug": slug, "apps": {k: {f: v[f] for f in fields} for k, v in sorted(apps.items())}})
 
 
 def _authorized(key_auth: DataFrame) -> list[bytes]:

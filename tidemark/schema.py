@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 # Bounds of the data model, in bytes where they are sizes.
@@ -19,7 +20,9 @@ MAX_RECONCILE_AGE = 2400
 MIN_DESCRIBABLE = 200
 
 # Formats.
-CONTRACT_SCHEME = "freenet"
+#: A deployment names the URI scheme of its contracts, and the name that their locators have in documents.
+CONTRACT_SCHEME = os.environ.get("TIDEMARK_CONTRACT_SCHEME", "contract")
+CONTRACT_VARIANT = os.environ.get("TIDEMARK_CONTRACT_VARIANT", "Contract")
 WEB_PREFIX = "/v1/contract/web/"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Iterator
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +34,19 @@ def messages_since(messages: DataFrame, room, cursor: int, limit: int) -> DataFr
     return messages.where((F.col("room") == room) & (F.col("seq") > cursor) & ~F.col("deleted")).orderBy("seq").limit(limit).select("seq", "author_id", "content")
 
 
+def epoch(text: str) -> int | None:
+    """reconcile_epoch of one string."""
+    fields = [text.strip()[a:b] for a, b in ((0, 4), (5, 7), (8, 10), (11, 13), (14, 16), (17, 19))]
+    if not all(re.fullmatch("[+-]?[0-9]+", f) for f in fields) or len(text.strip().encode()) < 19:
+        return None
+    year, month, day, hour, minute, second = map(int, fields)
+    if not 1 <= month <= 12 or not 1 <= day <= 31 or year < 1:
+        return None
+    return (date(year, month, 1).toordinal() - date(1970, 1, 1).toordinal() + day - 1) * 86_400 + hour * 3600 + minute * 60 + second
+
+
 def check_replica(path: str, room: str, now: int) -> str | None:
     """gate_reason of a SQLite file; a missing file raises."""
-    from datetime import datetime
-
     with sqlite3.connect(f"file:{Path(path).resolve()}?mode=ro", uri=True) as db:
         version = db.execute("SELECT CAST(value AS INTEGER) FROM meta WHERE key = 'schema_version'").fetchone()
         if version is None:
@@ -47,9 +58,8 @@ def check_replica(path: str, room: str, now: int) -> str | None:
         return "no state for the room"
     if row[0] != 1:
         return "generation not attested"
-    try:
-        at = int(datetime.fromisoformat(row[1][:19] + "+00:00").timestamp())
-    except ValueError:
+    at = epoch(row[1])
+    if at is None:
         return "never reconciled"
     return "reconciled in the future" if at > now else "stale" if now - at > MAX_RECONCILE_AGE else None
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.codec import cbor_decode
 from tidemark.operators.merge import State, merge
-from tidemark.schema import KEY_AUTH, RECORDS, REGISTRY
+from tidemark.schema import CONTRACT_VARIANT, KEY_AUTH, RECORDS, REGISTRY
 
 
 class Status(Enum):
@@ -31,6 +31,7 @@ class Read:
 
 def _locator(value: dict) -> dict:
     ((variant, fields),) = value.items()
+    variant = "Contract" if variant == CONTRACT_VARIANT else variant
     return {"variant": variant, "contract_id": None, "url": None, "app": None, "resource": None, "path": None} | fields
 
 

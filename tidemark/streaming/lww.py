@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.merge import latest
+from tidemark.operators.merge import State, latest
+
+
+def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into_snapshots(stream: DataFrame, folder: str, checkpoint: str, key: str = "subject_id") -> StreamingQuery:
+    """Folds each batch's winners into the snapshot before and writes folder/batch as Parquet.
+
+    Late rows with a lower (version, is_tomb, sig) change nothing. A batch that is run again
+    reads the same snapshot and overwrites its own.
+    """
+
+    def fold(batch: DataFrame, n: int) -> None:
+        rows = latest(batch, key)
+        if n:
+            rows = latest(batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/{n - 1}").unionByName(rows), key)
+        rows.write.mode("overwrite").parquet(f"{folder}/{n}")
+
+    return _start(stream, fold, checkpoint)
+
 
+def last_snapshot(query: StreamingQuery, spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The winners after the last batch that the query ran."""
+    ran = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    return spark.read.schema(schema).parquet(f"{folder}/{max(ran)}") if ran else spark.createDataFrame([], schema)
 
-def stream_latest(stream: DataFrame, key: str = "subject_id") -> DataFrame:
-    """The winner of each key so far; late rows with a lower (version, is_tomb, sig) change nothing."""
-    return latest(stream, key)
 
+def into_states(stream: DataFrame, read: Callable[[], State], write: Callable[[State], None], apply: Callable[[State, State], State], checkpoint: str) -> StreamingQuery:
+    """The delta sink: each batch's winners are an untrusted delta that apply judges over the state that is read, and the result is written.
 
-def to_memory(stream: DataFrame, name: str, checkpoint: str, key: str = "subject_id") -> StreamingQuery:
-    """Runs over what is there now, with the winners in a table of that name."""
-    out = stream_latest(stream, key).writeStream.outputMode("complete").format("memory").queryName(name)
-    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A delta that apply refuses raises and stops the query with nothing written.
+    """
 
+    def send(batch: DataFrame, n: int) -> None:
+        state = read()
+        delta = State(latest(batch), state.key_auth.limit(0), state.registry.limit(0))
+        if not delta.records.isEmpty():
+            write(apply(state, delta))
 
-def into_snapshots(stream: DataFrame, merge_batch, checkpoint: str) -> StreamingQuery:
-    """Hands each batch's winners to merge_batch(records, batch id), which checks bounds and writes."""
-    out = stream.writeStream.foreachBatch(lambda batch, n: merge_batch(latest(batch), n))
-    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(stream, send, checkpoint)
