@@ -3,7 +3,8 @@
 import pytest
 
 from tests.oracle import differences
-from tidemark.plans.catalogue import ORACLES, QUERIES
+from tidemark.plans import cases, catalogue  # noqa: F401  both register their queries
+from tidemark.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import html as H
+from tidemark.functions import pages as P
 from tidemark.functions import validate as V
-from tidemark.operators import dml, merge, pointers, search
+from tidemark.operators import dml, merge, places, pointers, search
 from tidemark.plans import views as W
-from tidemark.schema import MAX_RECONCILE_AGE, U64
+from tidemark.plans.registry import query
+from tidemark.schema import CLASS, MAX_RECONCILE_AGE, U64
 from tidemark.sources import messages as M
-from tidemark.streaming.lww import to_memory
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from tidemark.streaming.lww import into_snapshots, last_snapshot
 
 # ---- browse and search
 CARD = ("rn", "subject_id", "title", "kind_label", "adult_sections", "href", "host_app", "target")
@@ -128,16 +110,42 @@ def metadata_lines(spark, sf_dir):
     return W.entries(spark, sf_dir).select("subject_id", C.metadata_lines().alias("line"))
 
 
-@query()
+CLASS_JSON_SQL = f"""CASE WHEN judged THEN '{{"landing":"' || CASE WHEN toxic THEN 'adult' ELSE 'general' END || '","has_adult_sections":' || CASE WHEN toxic THEN 'true' ELSE 'false' END || ',"volatility":"static","classifier":0,"classified_at":{W.NOW}}}' ELSE 'null' END"""
+
+
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, '{{"subject_id":"' || subject_id || '","version":1,"kind":"' || kind || '","title":' || CAST(to_json(title) AS VARCHAR) || ',"locator":"' || uri
+  || '","featured":' || CASE WHEN featured THEN 'true' ELSE 'false' END || ',"added_at":' || CAST(added_at AS VARCHAR) || ',"class":' || {CLASS_JSON_SQL} || ',"verified":null,"ext":null}}' AS line FROM r""")
 def listing_json(spark, sf_dir):
     return search.listing_json(W.entries(spark, sf_dir))
 
 
-@query()
+CLASS_LINE_SQL = f"CASE WHEN NOT judged THEN '     class: NOT CLASSIFIED' ELSE '     class: ' || CASE WHEN toxic THEN 'adult landing, has' ELSE 'general landing, no' END || ' adult sections, static (classifier 0, at {W.NOW})' END"
+
+
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, CASE WHEN featured THEN '★ ' ELSE '  ' END || subject_id || '  [' || kind || ']  ' || title || chr(10) || '     ' || snippet || chr(10) || '     ' || uri
+  || CASE WHEN href IS NULL THEN '  [UNRESOLVABLE: app not in registry]' ELSE '' END || chr(10) || {CLASS_LINE_SQL} AS line FROM r""")
 def listing_text(spark, sf_dir):
     return search.listing_text(W.entries(spark, sf_dir), W.apps(spark))
 
 
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, {CLASS_LINE_SQL} || CASE WHEN n % 2 = 0 THEN chr(10) || '     verified: ok at ' || CAST(n AS VARCHAR) ELSE '' END || CASE WHEN n % 3 = 0 THEN chr(10) || '     ext: a=' || lang || '  b=x=' ELSE '' END AS line FROM r""")
+def metadata_lines_full(spark, sf_dir):
+    """Entries with a verification (even numbers) and extensions (every third)."""
+    n = W.number("subject_id")
+    e = W.entries(spark, sf_dir).withColumn("verified", F.when(n % 2 == 0, F.struct(n.cast(U64).alias("last_verified_at"), F.lit("ok").alias("status"))))
+    e = e.withColumn("ext", F.when(n % 3 == 0, F.create_map(F.lit("b"), F.lit("x="), F.lit("a"), F.col("tags")[0])))
+    return e.select("subject_id", C.metadata_lines().alias("line"))
+
+
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, CASE n % 4 WHEN 0 THEN {W.NOW} WHEN 1 THEN 7 END AS last_verified_at, CASE n % 4 WHEN 0 THEN 'gone' WHEN 1 THEN 'ok' END AS status FROM r""")
+def verified_rule(spark, sf_dir):
+    """A status is stamped, an unchanged description keeps, a changed one clears, nothing stays nothing."""
+    n = F.pmod(W.number("subject_id"), F.lit(4))
+    current = F.when(n != 3, F.struct(F.lit(7).cast(U64).alias("last_verified_at"), F.lit("ok").alias("status")))
+    got = W.entries(spark, sf_dir).select("subject_id", C.next_verified(current, F.when(n == 0, "gone"), n == 2, W.NOW).alias("v"))
+    return got.select("subject_id", F.col("v.last_verified_at").cast("long").alias("last_verified_at"), F.col("v.status").alias("status"))
+
+
 # ---- merge
 ROW = ("user_id", "version", "is_tomb", "sig")
 ROW_SQL = "user_id, version, is_tomb, sig"
@@ -195,10 +203,12 @@ def delta_legacy_summary(spark, sf_dir):
     return _delta(spark, sf_dir, F.lit(None).cast("string"))
 
 
-@query(f"{W.RECORDS_SQL} SELECT {ROW_SQL.replace('user_id', 'user_id AS subject_id')} FROM w WHERE false")
+@query(f"{W.RECORDS_SQL} SELECT count(*) AS records, 0 AS lacking, count(*) FILTER (WHERE user_id % 3 = 0) AS lacking_a_third FROM w")
 def delta_converged_empty(spark, sf_dir):
+    """A peer with the same records lacks none; one without a third of them lacks these."""
     mine = merge.latest(W.records(spark, sf_dir).select(*ROW), "user_id").withColumnRenamed("user_id", "subject_id")
-    return merge.delta_records(mine, merge.summarize_records(mine))
+    count = lambda theirs, name: merge.delta_records(mine, merge.summarize_records(theirs)).agg(F.count("*").alias(name))
+    return mine.agg(F.count("*").alias("records")).crossJoin(count(mine, "lacking")).crossJoin(count(mine.where("subject_id % 3 <> 0"), "lacking_a_third"))  # one row each
 
 
 @query(f"{W.RECORDS_SQL} SELECT user_id % 10 AS index_slug, version, sig FROM v QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY version DESC, sig DESC) = 1")
@@ -212,15 +222,15 @@ def keyauth_pick(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Every seventh entry again, under another path, and as many new ones."""
-    e = W.entries(spark, sf_dir).where(F.col("added_at") % 7 == 0)
+    """Every entry again, under another path, and as many new ones."""
+    e = W.entries(spark, sf_dir)
     moved = F.col("locator").withField("path", F.when(F.col("locator.variant") == "AppResource", "/new").otherwise(F.col("locator.path")))
     return e.select(F.concat(F.lit("n"), "subject_id").alias("candidate"), moved.alias("locator")).union(
         e.select(F.concat(F.lit("o"), "subject_id").alias("candidate"), F.col("locator").withField("variant", F.lit("External")).withField("url", F.concat(F.lit("https://new/"), "subject_id")).alias("locator"))
     )
 
 
-CANDIDATES_SQL = W.ENTRIES_SQL + ", k AS (SELECT 'n' || subject_id AS candidate, dedup_key FROM r WHERE added_at % 7 = 0 UNION ALL SELECT 'o' || subject_id, 'https://new/' || subject_id FROM r WHERE added_at % 7 = 0)"
+CANDIDATES_SQL = W.ENTRIES_SQL + ", k AS (SELECT 'n' || subject_id AS candidate, dedup_key FROM r UNION ALL SELECT 'o' || subject_id, 'https://new/' || subject_id FROM r)"
 
 
 @query(CANDIDATES_SQL + " SELECT candidate, min(subject_id) AS listed_as FROM k JOIN r USING (dedup_key) GROUP BY candidate")
@@ -240,9 +250,11 @@ def ack_gap(spark, sf_dir):
     return merge.not_acknowledged(missing, acks)
 
 
-@query(f"{W.ENTRIES_SQL} SELECT subject_id, title FROM r WHERE subject_id = '2' || translate(lpad('7', 11, '0'), '0123456789', '123456789A')")
+@query(f"{W.ENTRIES_SQL} SELECT subject_id, title FROM r WHERE n = 7")
 def point_lookup(spark, sf_dir):
-    filed = W.entries(spark, sf_dir).withColumn("filed_as", F.col("subject_id"))
+    """Record 7 lies under its own id and, wrongly, so does record 8; only the one whose body says the id is found."""
+    e = W.entries(spark, sf_dir)
+    filed = e.withColumn("filed_as", F.when(F.col("subject_id") == "211111111119", "211111111118").otherwise(F.col("subject_id")))
     return merge.point_lookup(filed, "211111111118").select("subject_id", "title")
 
 
@@ -288,7 +300,7 @@ def parse_kind(spark, sf_dir):
     return W.table(spark, sf_dir, "events").select("event_id", C.parse_kind(kind).alias("k")).select("event_id", "k.*")
 
 
-@query(f"""{W.ENTRIES_SQL} SELECT subject_id, ['Freenet', NULL, 'AppResource'][variant + 1] AS variant, CASE variant WHEN 0 THEN contract_id END AS contract_id,
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, ['Contract', NULL, 'AppResource'][variant + 1] AS variant, CASE variant WHEN 0 THEN contract_id END AS contract_id,
   CASE variant WHEN 2 THEN source END AS app, CASE variant WHEN 2 THEN subject_id END AS resource, CASE WHEN variant <> 1 THEN path END AS path,
   CASE WHEN variant = 1 THEN 'web refused' END AS error FROM r""")
 def parse_locator(spark, sf_dir):
@@ -305,15 +317,24 @@ def split_tags(spark, sf_dir):
 HOSTILE = ("/ok", "/../x", "//x", "/%2e%2e/x", "/a%00", "/%c0%ae", "/c:/x", "/%252e%252e%252f", "?q=%zz", "#a/./b")
 
 
-@query()
+HOSTILE_SQL = ", ".join(f"'{p}'" for p in HOSTILE)
+#: What is wrong with the paths above, in their order.
+HOSTILE_REASONS = (None, "dot segment", "absolute escape", "dot segment", "control character", "invalid utf-8", "absolute escape", "dot segment", None, "dot segment")
+HOSTILE_REASONS_SQL = ", ".join("NULL" if r is None else f"'{r}'" for r in HOSTILE_REASONS)
+
+
+@query(f"SELECT event_id, [{HOSTILE_SQL}][event_id % 10 + 1] AS path, [{HOSTILE_REASONS_SQL}][event_id % 10 + 1] AS reason FROM events")
 def path_guard_report(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, HOSTILE)), (F.col("event_id") % len(HOSTILE) + 1).cast("int"))
     return W.table(spark, sf_dir, "events").select("event_id", path.alias("path")).withColumn("reason", V.path_reason("path"))
 
 
-@query(f"{W.ENTRIES_SQL} SELECT subject_id, true AS ok FROM r")
+@query(f"{W.ENTRIES_SQL} SELECT subject_id, n % 5 = 0 AS ok FROM r")
 def subject_id_wellformed(spark, sf_dir):
-    return W.entries(spark, sf_dir).select("subject_id", V.well_formed_subject("subject_id").alias("ok"))
+    """Ids as they are, with a letter that base58 hasn't, cut short, too long, and empty."""
+    n, s = F.pmod(W.number("subject_id"), F.lit(5)), F.col("subject_id")
+    text = F.when(n == 0, s).when(n == 1, F.concat(F.lit("0"), F.substring(s, 2, 11))).when(n == 2, F.substring(s, 1, 8)).when(n == 3, F.concat(s, s, s)).otherwise("")
+    return W.entries(spark, sf_dir).select("subject_id", V.well_formed_subject(text).alias("ok"))
 
 
 # ---- edits
@@ -339,16 +360,36 @@ def next_class(spark, sf_dir):
     return got.select("subject_id", F.col("x.class.landing").alias("landing"), F.col("x.class.volatility").alias("volatility"), F.col("x.class.classified_at").cast("long").alias("classified_at"), F.col("x.error").alias("error"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN event_type || CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN ',a=b=' WHEN 2 THEN ',' ELSE '' END END AS ext, CASE WHEN event_id % 5 = 4 THEN 'key given twice' END AS error FROM (SELECT * FROM events WHERE event_id % 5 <> 2)")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN event_type || ',a=b=' WHEN 2 THEN event_type || ',' WHEN 3 THEN 'x' END AS ext,
+  CASE event_id % 6 WHEN 4 THEN 'key given twice' WHEN 5 THEN 'not key=value' END AS error FROM events""")
 def next_ext(spark, sf_dir):
-    """k stays or is merged with z, whose value may hold an equals sign."""
-    e = W.table(spark, sf_dir, "events").where("event_id % 5 <> 2")
-    pairs = F.when(F.col("event_id") % 5 == 1, F.array(F.lit("z=a=b="))).when(F.col("event_id") % 5 == 4, F.array(F.lit("q=1"), F.lit("q=2")))
-    got = e.select("event_id", C.next_ext(F.create_map(F.lit("k"), F.col("event_type")), pairs, F.lit(False)).alias("x"))
+    """k stays, is merged with z, whose value may hold an equals sign or nothing, or is cleared."""
+    n = F.col("event_id") % 6
+    pairs = F.when(n == 1, F.array(F.lit("z=a=b="))).when(n == 2, F.array(F.lit("z="))).when(n == 3, F.array(F.lit("q=x"))).when(n == 4, F.array(F.lit("q=1"), F.lit("q=2"))).when(n == 5, F.array(F.lit("q")))
+    got = W.table(spark, sf_dir, "events").select("event_id", C.next_ext(F.create_map(F.lit("k"), F.col("event_type")), pairs, n == 3).alias("x"))
     text = F.array_join(F.transform(C.sorted_ext(F.col("x.ext")), lambda p: p["value"]), ",")
     return got.select("event_id", text.alias("ext"), F.col("x.error").alias("error"))
 
 
+@query(f"""{W.ENTRIES_SQL} SELECT subject_id, CASE n % 8 WHEN 0 THEN 'reserved' WHEN 1 THEN 'web refused' WHEN 2 THEN 'title length' WHEN 3 THEN 'tags' WHEN 4 THEN 'key given twice' WHEN 5 THEN 'duplicate' WHEN 6 THEN CASE WHEN n % 16 = 6 THEN NULL ELSE 'duplicate' END END AS reason FROM r""")
+def add_entries(spark, sf_dir):
+    """Requests that are refused for their kind, locator, title, tags or pairs, or as listed already or earlier in the batch; the rest pass."""
+    e, n = W.entries(spark, sf_dir), F.pmod(W.number("subject_id"), F.lit(8))
+    number = W.number("subject_id")
+    fresh = F.concat(F.lit("app:src1/"), F.rpad(F.translate(number.cast("string"), "0", "A"), 14, "z"))
+    twin = F.concat(F.lit("app:src2/"), F.rpad(F.translate(F.floor(number / 16).cast("string"), "0", "A"), 14, "y"), F.when(number % 16 == 6, "/a").otherwise("/b"))
+    requests = e.select(
+        F.concat(F.lit("3"), F.substring("subject_id", 2, 11)).alias("subject_id"), F.when(n == 0, "room").otherwise("Site").alias("kind"), F.when(n == 2, F.repeat(F.lit("é"), 101)).otherwise("A title").alias("title"),
+        F.lit("").alias("snippet"), F.when(n == 3, F.repeat(F.lit("t,x"), 20)).otherwise("a, b").alias("tags"),
+        F.when(n == 1, "https://x").when(n == 5, F.concat(F.lit("app:listed/"), F.rpad(F.translate(number.cast("string"), "0", "A"), 14, "z"), F.lit("/other"))).when(n == 6, twin).otherwise(fresh).alias("locator"), F.lit(False).alias("featured"),
+        F.lit(None).cast(CLASS).alias("class"), F.when(n == 4, F.array(F.lit("a=1"), F.lit("a=2"))).alias("pairs"),
+    )
+    at = F.struct(F.lit("AppResource").alias("variant"), F.lit(None).cast("string").alias("contract_id"), F.lit(None).cast("string").alias("url"), F.lit("listed").alias("app"), F.rpad(F.translate(number.cast("string"), "0", "A"), 14, "z").alias("resource"), F.lit("").alias("path"))
+    listed = e.where(n == 5).withColumn("locator", at)
+    made = dml.add(listed, requests, W.NOW)
+    return made.select(F.concat(F.lit("2"), F.substring("subject_id", 2, 11)).alias("subject_id"), "reason")
+
+
 @query(f"{W.RECORDS_SQL} SELECT user_id AS subject_id, version + 1 AS version, true AS is_tomb FROM w")
 def tombstone(spark, sf_dir):
     made = dml.tombstones(merge.latest(W.records(spark, sf_dir).select(*ROW), "user_id").select(F.col("user_id").alias("subject_id"), "version"))
@@ -370,17 +411,52 @@ def mirror_gate(spark, sf_dir):
     return W.table(spark, sf_dir, "events").select("event_id", M.gate_reason(F.when(n == 0, 2).otherwise(1), n != 1, F.when(n == 2, 0).otherwise(1), last, W.NOW).alias("reason"))
 
 
-@query()
+PAGES_SQL = r"""
+WITH h AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<body>(.*)', 1) AS body FROM pages),
+u AS (SELECT page_id, unnest([1, 2]) AS part, unnest([article, body]) AS x FROM h),
+v AS (SELECT page_id, part, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), '</?(p|div|section|article|main|ul|ol|li|h[1-6]|table|tr|header|footer|nav|aside|pre|blockquote|br)( [^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM u),
+w AS (SELECT page_id, part, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') AS x FROM v),
+t AS (SELECT page_id, part, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r\f]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS x FROM w),
+c AS (SELECT h.page_id, url, len(regexp_extract_all(html, '<a [^>]*href="[^"]+"')) AS n_links, a.x AS article, b.x AS body FROM h JOIN t AS a ON a.page_id = h.page_id AND a.part = 1 JOIN t AS b ON b.page_id = h.page_id AND b.part = 2)
+"""
+
+
+@query(PAGES_SQL + "SELECT page_id, CASE WHEN length(article) > 80 THEN article ELSE body END AS content FROM c")
 def content_region(spark, sf_dir):
     return W.table(spark, sf_dir, "pages").select("page_id", H.content_region("html").alias("content"))
 
 
-@query()
+@query(PAGES_SQL + "SELECT page_id, url, length(article) AS size, n_links FROM c WHERE length(article) >= 200")
 def describable_pages(spark, sf_dir):
     pages = W.table(spark, sf_dir, "pages").select("page_id", "url", H.content_region("html", strict=True).alias("content"), H.links("html").alias("links"))
     return pages.withColumn("size", H.content_size(F.col("content"))).where(H.is_describable(F.col("size"))).select("page_id", "url", "size", F.size("links").alias("n_links"))
 
 
+@query("SELECT page_id FROM pages WHERE page_id % 5 IN (0, 1)")
+def served_pages(spark, sf_dir):
+    """Pages with statuses 200, 299, 300, 500 and none: only 2xx may be read."""
+    status = F.element_at(F.array(*(F.lit(x).cast("int") for x in (200, 299, 300, 500, None))), (F.col("page_id") % 5 + 1).cast("int"))
+    return W.table(spark, sf_dir, "pages").where(P.served(status)).select("page_id")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS nth FROM pages")
+def picked_frames(spark, sf_dir):
+    """A sandboxed frame before a longer one, else the longest, else the first."""
+    size = lambda nth: F.when(F.col("page_id") % 3 == 1, nth).otherwise(F.lit(5))
+    url = lambda nth: F.when((F.col("page_id") % 3 == 0) & (nth == 1), F.concat("url", F.lit("?__sandbox=1"))).otherwise(F.col("url"))
+    frames = W.table(spark, sf_dir, "pages").select("page_id", F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda n: F.struct(n.alias("nth"), url(n).alias("url"), size(n).alias("size")))).alias("f"))
+    return P.picked_frames(frames.select("page_id", "f.*")).select("page_id", "nth")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '#a/1,#a/2,#a/3' WHEN 1 THEN '#a/1,#a/2' WHEN 2 THEN '#a/1' ELSE '#a/1,#a/2' END AS pages, page_id % 4 = 3 AS partial FROM pages""")
+def walked_pages(spark, sf_dir):
+    """Walks that pass their entry once, meet a page again, stay on the entry, and break off."""
+    walks = (("#a/1", "#a/1", "#a/2", "#a/3", "#a/3", "#a/4"), ("#a/1", "#a/2", "#a/2", "#a/9"), ("#a/1", "#a/1", "#a/1", "#a/5"), ("#a/1", "#a/2", None, "#a/3"))
+    hashes = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in walks)), (F.col("page_id") % 4 + 1).cast("int"))
+    steps = W.table(spark, sf_dir, "pages").select("page_id", F.posexplode(hashes).alias("step", "hash"))
+    return P.walked_pages(steps, "page_id").select("page_id", F.array_join("pages", ",").alias("pages"), "partial")
+
+
 @query("SELECT n_nationkey AS app_id, CASE WHEN n_nationkey % 4 = 0 THEN 'skip' WHEN n_nationkey % 4 = 1 THEN 'put' WHEN n_nationkey % 4 = 2 THEN 'update' ELSE 'refuse' END AS decision FROM nation")
 def publish_decision(spark, sf_dir):
     n = W.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("app_id"), F.lit(5).alias("version"), F.col("n_name").alias("state"))
@@ -395,18 +471,52 @@ def vanished_records(spark, sf_dir):
     return pointers.vanished(n, n.where("n_regionkey <> 2")).drop("n_regionkey")
 
 
+NATION_SQL = "(SELECT n_nationkey AS app_id, n_nationkey % 5 AS k FROM nation)"
+
+
+@query("SELECT n_nationkey AS app_id, n_name AS state, CASE WHEN n_regionkey <> 2 THEN lower(n_name) END AS old_state FROM nation")
+def paired_records(spark, sf_dir):
+    """Records with what base has under the same id, in whatever order base stands; new ones have nothing."""
+    n = W.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("app_id"), F.col("n_name").alias("state"), "n_regionkey")
+    base = n.where("n_regionkey <> 2").orderBy(F.desc("app_id")).select("app_id", F.lower("state").alias("state"))
+    return pointers.paired(base, n.drop("n_regionkey"))
+
+
+@query(f"SELECT app_id, CASE k WHEN 1 THEN 'hash' WHEN 2 THEN 'signature' WHEN 3 THEN 'version not raised' END AS reason FROM {NATION_SQL}")
+def freshness(spark, sf_dir):
+    """Records that are sound, of another file, badly signed, changed at the same version, and changed at a higher one."""
+    k = F.col("app_id") % 5
+    n = W.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("app_id"), F.col("n_name").alias("state"))
+    base = n.select("app_id", F.lit(2).alias("version"), F.when(k >= 3, "old").otherwise(F.col("state")).alias("state"))
+    head = n.select("app_id", F.when(k == 4, 3).otherwise(2).alias("version"), "state", F.lit("h").alias("code_hash"), F.when(k == 1, "other").otherwise("h").alias("actual_hash"))
+    return pointers.paired(base, head).select("app_id", pointers.freshness_reason(F.col("app_id") % 5 != 2).alias("reason"))
+
+
+@query(f"SELECT app_id, CASE WHEN k = 0 THEN 'not written' WHEN k < 3 THEN 'verified' ELSE 'unverified' END AS outcome FROM {NATION_SQL}")
+def read_back(spark, sf_dir):
+    k = F.col("app_id") % 5
+    n = W.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("app_id"), F.lit(4).alias("version"), F.col("n_name").alias("state"), F.lit("h").alias("code_hash"))
+    there = n.where(k != 0).select("app_id", F.when(k == 3, 3).otherwise(4).alias("version"), F.when(k == 4, "x").otherwise(F.col("state")).alias("state"), "code_hash")
+    return pointers.read_back(n, there)
+
+
+@query("SELECT r_regionkey AS region, r_regionkey NOT IN (1, 4) AS green FROM region")
+def rollup_green(spark, sf_dir):
+    """Runs by region: one bad run spoils region 1, and none at all (region 4) isn't green."""
+    n = W.table(spark, sf_dir, "nation").where("n_regionkey <> 4")
+    rows = [(r, pointers.all_green(n.where(n.n_regionkey == r), (F.col("n_regionkey") != 1) | (F.col("n_nationkey") != 1)).first()["green"]) for r in range(5)]
+    return spark.createDataFrame(rows, "region int, green boolean")
+
+
 # ---- streaming
 @query(f"{W.RECORDS_SQL} SELECT {ROW_SQL} FROM w")
 def stream_lww(spark, sf_dir):
     """The winners of a stream over the events file; equal to the batch's."""
-    name, at = f"lww_{uuid.uuid4().hex}", tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else None
-    folder = at or f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/{name}"
+    folder = f"{places.shared_folder(spark)}/lww_{uuid.uuid4().hex}"
+    places.remove(spark, folder, at_exit=True)
     schema = W.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = stream.select("user_id", (1 + F.col("event_id") % 7).alias("version"), (F.col("event_type") == "error").alias("is_tomb"), F.sha2(F.col("event_id").cast("string"), 256).alias("sig"))
-    try:
-        to_memory(events, name, folder, "user_id").awaitTermination()
-    finally:
-        if at:
-            shutil.rmtree(at, ignore_errors=True)
-    return spark.table(name)
+    run = into_snapshots(events, f"{folder}/winners", f"{folder}/stream", "user_id")
+    run.awaitTermination()
+    return last_snapshot(run, spark, f"{folder}/winners", events.schema)

@@ -20,6 +20,11 @@ def subject(n: Column) -> Column:
     return F.concat(F.lit("2"), F.translate(F.lpad(n.cast("string"), 11, "0"), "0123456789", "123456789A"))
 
 
+def number(subject_id: str) -> Column:
+    """The number that a subject was made of."""
+    return F.translate(F.substring(subject_id, 2, 11), "123456789A", "0123456789").cast("long")
+
+
 def entries(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
     """documents and labels as index entries; clean titles are legal ones."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality", "toxic")
@@ -30,7 +35,7 @@ def entries(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
     path = F.element_at(F.array(*(F.lit(p) for p in ("", "/", "#frag", "?q=1", "/a/b"))), (n % 5 + 1).cast("int"))
     scheme = F.when(n % 2 == 0, "https://").otherwise("http://")
     locator = F.struct(
-        F.element_at(F.array(F.lit("Freenet"), F.lit("External"), F.lit("AppResource")), (n % 3 + 1).cast("int")).alias("variant"),
+        F.element_at(F.array(F.lit("Contract"), F.lit("External"), F.lit("AppResource")), (n % 3 + 1).cast("int")).alias("variant"),
         F.when(n % 3 == 0, F.rpad(sid, 44, "2")).otherwise(none).alias("contract_id"),
         F.when(n % 3 == 1, F.concat(scheme, F.lit("host/"), n.cast("string"))).otherwise(none).alias("url"),
         F.when(n % 3 == 2, F.col("source")).otherwise(none).alias("app"),
@@ -63,8 +68,8 @@ WITH e AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ), a AS (SELECT 'src' || CAST(i AS VARCHAR) AS app, rpad('3', 44, '3') AS app_id, 'App ' || CAST(i AS VARCHAR) AS app_name FROM range(10) t(i))
 , r AS (
-  SELECT e.*, CASE variant WHEN 0 THEN 'freenet:' || contract_id || path WHEN 1 THEN url ELSE 'app:' || source || '/' || subject_id || path END AS uri,
-    CASE variant WHEN 0 THEN 'freenet:' || contract_id || path WHEN 1 THEN url ELSE 'app:' || source || '/' || subject_id END AS dedup_key,
+  SELECT e.*, CASE variant WHEN 0 THEN 'contract:' || contract_id || path WHEN 1 THEN url ELSE 'app:' || source || '/' || subject_id || path END AS uri,
+    CASE variant WHEN 0 THEN 'contract:' || contract_id || path WHEN 1 THEN url ELSE 'app:' || source || '/' || subject_id END AS dedup_key,
     CASE variant WHEN 0 THEN '/v1/contract/web/' || contract_id || CASE WHEN starts_with(path, '/') THEN '' ELSE '/' END || path WHEN 1 THEN url
       ELSE '/v1/contract/web/' || app_id || '/#' || subject_id || path END AS href,
     CASE WHEN variant = 2 THEN coalesce(app_name, source) END AS host_app
