@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.places import remove, shared_folder
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "remove", "row_key", "running", "shared_folder", "small_batches", "unused", "whole"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
 
-    It is the one the session names in spark.checkpoint.dir; where that is unset, a temporary
-    folder is used on a local master, and a cluster is refused.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
-    """Deletes a folder that is no longer read, now or as the driver ends."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.deleteOnExit(where) if at_exit else files.delete(where, True)
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def durable(df: DataFrame) -> DataFrame:
