@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.schema import MIN_DESCRIBABLE
+
 # The mark of a sandboxed frame, and the pages of a walk, by default and at most.
 SANDBOX = "__sandbox"
 WALK_PAGES, WALK_CAP = 12, 40
+# Ms before a page can settle and until it is polled, and the text beyond which there is content.
+SETTLE_AFTER, POLL_UNTIL, LEAST_TEXT = 6_000, 25_000, 40
 
 
 def served(status: Column) -> Column:
@@ -17,6 +22,25 @@ def served(status: Column) -> Column:
     return F.coalesce(status.between(200, 299), F.lit(False))
 
 
+def settled(samples: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, ms, settled): when the polling of each page ends, by its recorded polls.
+
+    samples: ms since the start, length (of the text), anchors, size (of the content region) and
+    waiting (for a live connection). A poll is flat if all three sizes are those of the poll
+    before, there is content, nothing thin is waited for, and the first seconds are over. Two flat
+    polls in a row settle a page; else polling ends with the first poll beyond the deadline. Pages
+    whose polls end before have null.
+    """
+    by = Window.partitionBy(page).orderBy("ms")
+    same = reduce(lambda a, b: a & b, (F.coalesce(F.col(c) == F.lag(c).over(by), F.lit(False)) for c in ("length", "anchors", "size")))
+    content = (F.col("length") > LEAST_TEXT) | (F.col("anchors") > 0)
+    waits = (F.col("size") < MIN_DESCRIBABLE) & F.coalesce("waiting", F.lit(False))
+    polls = samples.withColumn("_flat", F.coalesce(same & content & ~waits & (F.col("ms") > SETTLE_AFTER), F.lit(False)))
+    polls = polls.withColumn("_still", F.col("_flat") & F.coalesce(F.lag("_flat").over(by), F.lit(False)))
+    ends = polls.groupBy(page).agg(F.min(F.when(F.col("_still"), F.col("ms"))).alias("_still"), F.min(F.when(F.col("ms") > POLL_UNTIL, F.col("ms"))).alias("_late"))
+    return ends.select(page, F.least("_still", "_late").alias("ms"), F.coalesce(F.col("_still") <= F.coalesce("_late", "_still"), F.lit(False)).alias("settled"))
+
+
 def picked_frames(frames: DataFrame, page: str = "page_id") -> DataFrame:
     """Of each page's frames (nth, url, size) the one to read: sandboxed ones before others, then the longest, then the first."""
     best = F.max_by(F.struct("nth", "url", "size"), F.struct(F.coalesce(F.contains("url", F.lit(SANDBOX)), F.lit(False)), F.coalesce("size", F.lit(0)), -F.col("nth")))

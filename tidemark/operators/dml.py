@@ -10,8 +10,9 @@ from tidemark.functions import columns as C
 from tidemark.functions.validate import app_reason, record_reason, well_formed_subject
 from tidemark.operators.merge import State, duplicate_probe, empty_state
 from tidemark.operators.search import live_entries
-from tidemark.operators.verify import Rejected, key_auth_message, record_message, registry_message
+from tidemark.operators.verify import Rejected, key_auth_message, record_message, registry_message, registry_reason
 from tidemark.schema import ENTRY, KEY_AUTH, MAX_VERSION, RECORDS, REGISTRY, U64
+from tidemark.sources.state import Read, Status
 
 
 def init_state(spark: SparkSession, root_seed: bytes, online_key: bytes) -> State:
@@ -183,6 +184,45 @@ def signed_registry(spark: SparkSession, body: dict, root_seed: bytes) -> DataFr
     return spark.createDataFrame([(body["index_slug"], Decimal(body["version"]), apps, bytearray(sig))], REGISTRY)
 
 
+def verified_registry(read: Read, root: bytes, slug: str) -> DataFrame | None:
+    """The registry of what was read, None where there is no state yet; one that doesn't verify raises Rejected."""
+    if read.status in (Status.UNFINDABLE, Status.FAILED):
+        raise Rejected("the index isn't found, which doesn't prove that it isn't there")
+    if read.state is None:
+        return None
+    reason = registry_reason(read.state.registry, root, slug)
+    if reason:
+        raise Rejected(reason)
+    return read.state.registry
+
+
+def set_app(read: Read, root_seed: bytes, slug: str, app: str, record: dict | None, expect_version: int | None) -> DataFrame:
+    """The signed registry after setting or (record None) removing an app; built on a verified one only, and verified itself."""
+    root = codec.public_key(root_seed)
+    registry = verified_registry(read, root, slug)
+    if registry is None:
+        raise Rejected("the index isn't initialised")
+    row = registry.first()
+    current = row and {"version": int(row["version"]), "apps": {k: v.asDict() for k, v in row["apps"].items()}}
+    made = signed_registry(registry.sparkSession, next_registry(current, slug, app, record, expect_version), root_seed)
+    reason = registry_reason(made, root, slug)
+    if reason:
+        raise Rejected(reason)
+    return made
+
+
+def listed_apps(read: Read, root: bytes, slug: str, as_json: bool = False) -> str:
+    """The registry for people or as JSON, verified before it is shown."""
+    registry = verified_registry(read, root, slug)
+    row = registry.first() if registry is not None else None
+    if as_json:
+        return registry_json(registry) if registry is not None else '{"version":0,"apps":{}}'
+    if row is None:
+        return "(no app registry)"
+    apps = (f"  {k}  {v['name']}  {v['contract_id']}\n     template {v['link_template']}" for k, v in sorted(row["apps"].items()))
+    return "\n".join((f"app registry version {int(row['version'])}:", *apps))
+
+
 def registry_json(registry: DataFrame) -> str:
     """The registry with apps by slug; none is version 0."""
     import json

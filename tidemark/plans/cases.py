@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec, validate
 from tidemark.functions import columns as C
-from tidemark.operators import dml, merge, migrate, pointers, verify
+from tidemark.operators import dml, merge, migrate, places, pointers, verify
 from tidemark.plans.registry import query, values
 from tidemark.schema import MAX_RECORDS, RECORDS
 from tidemark.sources import lineage, messages, state
@@ -255,6 +256,7 @@ VECTORS = [
     ("public key", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"),
     ("signature of nothing", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
     ("base58", "StV1DL6CwTryKyV"), ("base58 of zeros", "111"), ("contract id", "blake3 base58"), ("params", "default True"), ("params cut short", "None"), ("params not UTF-8", "None"),
+    ("cbor", "a2646b696e646453697465616e07"), ("minted ids", "True 2"),
 ]
 
 
@@ -267,6 +269,8 @@ def known_answers(spark, sf_dir):
     made = codec.contract_id(run(32), b"params") == codec.base58_encode(codec.blake3(run(32) + b"params"))
     got = [codec.blake3(run(n)).hex() for n in (0, 1, 1024, 1025)] + [codec.public_key(seed).hex(), codec.sign(seed, b"").hex(), codec.base58_encode(b"hello world"), codec.base58_encode(bytes(3)), "blake3 base58" if made else "other"]
     got += [f"{parsed[1]} {parsed[0] == key}", str(codec.params_parse(key[:31])), str(codec.params_parse(key + b"\xff"))]
+    minted = {codec.mint_subject(), codec.mint_subject()}
+    got += [codec.cbor_encode({"kind": "Site", "n": 7}).hex(), f"{all(map(codec.well_formed_subject, minted))} {len(minted)}"]
     return told(spark, [(name, x) for (name, _), x in zip(VECTORS, got, strict=True)])
 
 
@@ -346,3 +350,66 @@ def missing_fields(spark, sf_dir):
     reason = validate.record_reason(F.col("version"), validate.well_formed_subject("subject_id"), F.col("is_tomb"), F.col("entry"))
     got = {r.subject_id: r.reason for r in spark.createDataFrame(rows, RECORDS).select("subject_id", reason.alias("reason")).collect()}
     return told(spark, [(name, got[subject(i)]) for i, (name, _) in enumerate(NULLS)])
+
+
+APPS = [
+    ("not found", "the index isn't found, which doesn't prove that it isn't there"), ("not initialised", "the index isn't initialised"), ("the first app", "app registry version 1:\n  garden  Garden  " + "3" * 44 + "\n     template /#{resource}{path}"),
+    ("another app", "2"), ("upon a forged registry", "registry signature"), ("upon another index's", "registry of another index"), ("shown where none is", "(no app registry)"), ("a forged one shown", "registry signature"), ("none as JSON", '{"version":0,"apps":{}}'),
+]
+
+
+@query(answers(APPS))
+def app_commands(spark, sf_dir):
+    """Setting and listing apps: nothing is built on, or shown of, what isn't verified."""
+    key, base = codec.public_key(ROOT), dml.init_state(spark, ROOT, codec.public_key(WRITER))
+    present = lambda r=base.registry: state.Read(state.Status.PRESENT, merge.State(base.records, base.key_auth, r))
+    none = {"not found": state.Read(state.Status.UNFINDABLE, None), "not initialised": state.Read(state.Status.EMPTY, None)}
+    first = dml.set_app(present(), ROOT, SLUG, "garden", GARDEN, 0)
+    add = lambda read: dml.set_app(read, ROOT, SLUG, "pond", GARDEN, 1).first()["version"]
+    acts = {
+        "not found": lambda: add(none["not found"]), "not initialised": lambda: add(none["not initialised"]), "the first app": lambda: dml.listed_apps(present(first), key, SLUG), "another app": lambda: add(present(first)),
+        "upon a forged registry": lambda: add(present(registry(spark, {"garden": GARDEN}, seed=STRANGER))), "upon another index's": lambda: add(present(registry(spark, {}, "other"))), "shown where none is": lambda: dml.listed_apps(present(), key, SLUG),
+        "a forged one shown": lambda: dml.listed_apps(present(registry(spark, {}, seed=STRANGER)), key, SLUG), "none as JSON": lambda: dml.listed_apps(none["not initialised"], key, SLUG, as_json=True),
+    }
+    return told(spark, [(name, outcome(acts[name])) for name, _ in APPS])
+
+
+FOLDERS = [
+    ("missing", "unfindable None"), ("empty", "empty None"), ("full", f"present 1:{2**64 - 1}:t 2:3:-"), ("raw bytes of missing", "None"), ("raw bytes", "True"), ("live or none", "1"), ("live or none of broken", "0"), ("no snapshot", "unfindable None"),
+    ("snapshot", "present 1:1:a 2:1:-"), ("put over it", "1:2:b 2:1:- 3:1:c"), ("written twice", "refused"), ("copied over it", "2 1"), ("copied from nowhere", "refused"),
+]
+
+
+@query(answers(FOLDERS))
+def documents_and_snapshots(spark, sf_dir):
+    """Reading one document and Parquet snapshots, merging a state over one, copying one over another."""
+    folder = f"{places.shared_folder(spark)}/states_{uuid.uuid4().hex}"
+    places.remove(spark, folder, at_exit=True)
+
+    def file(name: str, data: bytes) -> str:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(data))
+        out.close()
+        return f"{folder}/{name}"
+
+    def refused(act: Callable[[], object]) -> str:
+        try:
+            act()
+        except Exception:  # noqa: BLE001  a store says no in its own way
+            return "refused"
+        return "taken"
+
+    said = lambda r: f"{r.status.value} {shown(r.state.records) if r.state else None}"
+    data = codec.cbor_encode(DOCUMENT)
+    missing, empty, full, broken = f"{folder}/missing", file("empty", b""), file("full", data), file("broken", data + b"\0")
+    state.write_snapshot(index(spark, [(1, 1, "a"), (2, 1, None)]), f"{folder}/a")
+    state.write_snapshot(index(spark, [(1, 2, "b"), (3, 1, "c")]), f"{folder}/b")
+    put = state.put(spark, index(spark, [(1, 2, "b"), (3, 1, "c")]), f"{folder}/a", f"{folder}/c")
+    copied = state.copy(spark, f"{folder}/b", f"{folder}/a", f"{folder}/d").first()
+    got = [
+        said(state.read_document(spark, missing)), said(state.read_document(spark, empty)), said(state.read_document(spark, full)), str(state.read_raw(spark, missing)), str(state.read_raw(spark, full) == data),
+        str(state.count_live_or_zero(spark, full)), str(state.count_live_or_zero(spark, broken)), said(state.read_snapshot(spark, missing)), said(state.read_snapshot(spark, f"{folder}/a")), shown(put.records),
+        refused(lambda: state.write_snapshot(put, f"{folder}/a")), f"{copied['live']} {copied['tombstones']}", refused(lambda: state.copy(spark, missing, f"{folder}/a", f"{folder}/e")),
+    ]
+    return told(spark, [(name, x) for (name, _), x in zip(FOLDERS, got, strict=True)])

@@ -471,6 +471,16 @@ def vanished_records(spark, sf_dir):
     return pointers.vanished(n, n.where("n_regionkey <> 2")).drop("n_regionkey")
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 7000 WHEN 2 THEN 9000 ELSE 26000 END AS ms, page_id % 2 = 0 AS settled FROM pages")
+def settled_pages(spark, sf_dir):
+    """Polls of pages that stand still, are thin and wait, grow for a while, and are empty."""
+    kind, at = F.col("page_id") % 4, F.array(*map(F.lit, (0, 2000, 4000, 6500, 7000, 7500, 8000, 8500, 9000, 26_000)))
+    polls = W.table(spark, sf_dir, "pages").select("page_id", F.explode(at).alias("ms"))
+    length = F.when(kind == 3, 0).when(kind == 2, F.least(F.col("ms"), F.lit(8000))).otherwise(100)
+    polls = polls.select("page_id", "ms", length.alias("length"), F.lit(0).alias("anchors"), F.when(kind == 1, 10).otherwise(300).alias("size"), (kind == 1).alias("waiting"))
+    return P.settled(polls)
+
+
 NATION_SQL = "(SELECT n_nationkey AS app_id, n_nationkey % 5 AS k FROM nation)"
 
 
