@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.places import remove, shared_folder
 
-__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "remove", "row_key", "running", "shared_folder", "small_batches", "unused", "whole"]
+__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "remove", "row_key", "running", "shared_folder", "small_batches", "spread", "unused", "whole"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,6 +41,21 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), F.sha2(whole(text_col), 256))
 
 
+#: Bytes for each core up to which a table of few files is dealt out again.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, dealt to all of them; other tables as they are.
+
+    A file is often one row group, which one task reads; what is done in that task with every text
+    costs far more than moving a few MB. Large tables are never moved.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    few = 0 < len(df._jdf.inputFiles()) < cores and int(str(plan.stats().sizeInBytes())) < cores * SPREAD_BYTES
+    return df.repartition(cores) if few else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df hasn't got."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, spread
 
 #: Training documents of a language at most, and bytes of its dictionary: whole documents, by hash of the text. Longer
 #: documents teach nothing.
@@ -115,4 +115,4 @@ def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean").withColumnRenamed("_id", id_col)
+    return spread(rows).mapInArrow(run, f"_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean").withColumnRenamed("_id", id_col)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, small_batches, whole
+from tidemark.llm.common import durable, small_batches, spread, whole
 
 KINDS = ("email", "ip", "card", "phone")
 # The characters and shapes of the four kinds.
@@ -131,7 +131,8 @@ def scan_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     schema = f"_row long, _id {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms string, mark long, packed binary"
-    return df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), whole(text_col).alias("_text")).mapInArrow(run, schema)
+    texts = spread(df.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")))
+    return texts.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(run, schema)
 
 
 def terms_of(text: str) -> set[str]:
@@ -151,7 +152,7 @@ def counted_terms(df: DataFrame, text_col: str) -> DataFrame:
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
-    return df.select(whole(text_col).alias("_text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
+    return spread(df.select(whole(text_col).alias("_text"))).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
 
 
 def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, disclosure: float) -> DataFrame:
