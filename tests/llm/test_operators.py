@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -364,8 +365,6 @@ def test_audio(spark, odd, docs):
             assert (r.n_bytes, r.payload_bytes) == (len((t.text or "").encode()), len(payload)) and len(payload) % 64 == 0 and payload
             assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == 44 + len(payload)
     row = audio.audio_columns(odd).where("doc_id = 5").first()
-    import pyarrow as pa
-
     table = pa.ipc.open_stream(bytes(row.features)).read_all()
     assert table.schema.field("log_mel").type.shape == [64, 40] and table.column("end_ms")[-1].as_py() > 0
     assert audio.from_wav(bytes(row.media))[0] == audio.padded(("x" * 9000 + " tail").encode())
@@ -381,6 +380,46 @@ def test_resampling_keeps_a_tone():
     assert audio.segments(np.array([0, 0, 9, 9, 5, 5, 0, 0], np.float32)) == [(2, 6)]
 
 
+def test_audio_features_are_their_definitions():
+    """Resampling, mel energies and segments computed one number at a time."""
+    import cmath
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=700).astype(np.float32)
+    x[250:450] *= 9
+    for up, down in ((1, 2), (3, 2)):
+        h = audio.low_pass(up, down)
+        lag = len(h) // up // 2
+        want = [sum(float(h[t]) * float(x[(m * down - t) // up + lag]) for t in range(len(h)) if (m * down - t) % up == 0 and 0 <= (m * down - t) // up + lag < len(x)) for m in range(-(-len(x) * up // down))]
+        assert np.allclose(audio.resample(x, up, down), want, atol=1e-4)
+    rate = 8000
+    mels, energy = audio.log_mel(x, rate)
+    assert len(mels) == 1 + (700 - audio.FRAME) // audio.HOP
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio.MELS + 1) / 2595) - 1) for i in range(audio.MELS + 2)]
+    for n in (0, 3, len(mels) - 1):
+        frame = [float(x[n * audio.HOP + i]) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.FRAME - 1))) for i in range(audio.FRAME)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / audio.FFT) for i, v in enumerate(frame))) ** 2 for k in range(audio.FFT // 2 + 1)]
+        assert abs(energy[n] - 10 * math.log10(sum(v * v for v in frame) / audio.FRAME)) < 1e-3
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            total = sum(p * max(0.0, min((k * rate / audio.FFT - low) / (mid - low), (high - k * rate / audio.FFT) / (high - mid))) for k, p in enumerate(power))
+            assert abs(mels[n, m] - math.log10(max(total, 1e-10))) < 1e-3
+    mean, deviation, on, want = energy.mean(), energy.std(), False, []
+    for i, e in enumerate(energy):
+        if not on and e > mean + 0.5 * deviation:
+            on, start = True, i
+        elif on and e < mean - 0.5 * deviation:
+            on = False
+            want.append((start, i))
+    assert audio.segments(energy) == want + [(start, len(energy))] * on and want
+    table = audio.audio_features(audio.to_wav(audio.padded(bytes(rng.integers(0, 256, 20_000).tolist()))))
+    assert audio.described(pa.ipc.open_stream(audio.as_ipc(table)).read_all()) == audio.described(table)
+
+
 def test_language_on_held_out(spark, odd):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in d.collect()}
