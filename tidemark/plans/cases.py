@@ -50,7 +50,7 @@ def entry(title: str) -> dict:
 def signed(spark: SparkSession, rows: list[tuple], seed: bytes = WRITER) -> DataFrame:
     """rows: (n, version, title or None for a tombstone)."""
     made = [(subject(n), Decimal(v), t is None, None if t is None else entry(t), None, None) for n, v, t in rows]
-    return dml.sign_records(spark.createDataFrame(made, RECORDS), seed)
+    return spark.createDataFrame(dml.sign_records(spark.createDataFrame(made, RECORDS), seed).collect(), RECORDS)  # signed once
 
 
 def index(spark: SparkSession, rows: list[tuple], seed: bytes = WRITER) -> merge.State:
