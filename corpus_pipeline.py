@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from tidemark.llm.common import remove, shared_folder
-from tidemark.llm.queries import TOKENIZER, table
+from tidemark.llm.queries import table, tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of each document of the mix."""
-    return bpe.bpe_encode(docs, TOKENIZER, keep=["doc_id", "source"]).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.bpe_encode(docs, tokenizer(), keep=["doc_id", "source"]).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

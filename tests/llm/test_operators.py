@@ -48,16 +48,16 @@ def by_text(rows):
 def test_bpe_is_the_librarys(spark, odd, docs):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(Q.TOKENIZER)
+    t = Tokenizer.from_file(Q.tokenizer())
     for df in (odd, docs):
         want = []
         for r in df.collect():
             ids = t.encode(r.text or "", add_special_tokens=False).ids
             want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-        assert by_text(map(tuple, bpe.bpe_round_trip(df, Q.TOKENIZER).collect())) == by_text(want)
-    again = bpe.bpe_decode(bpe.bpe_encode(odd, Q.TOKENIZER), Q.TOKENIZER).collect()
+        assert by_text(map(tuple, bpe.bpe_round_trip(df, Q.tokenizer()).collect())) == by_text(want)
+    again = bpe.bpe_decode(bpe.bpe_encode(odd, Q.tokenizer()), Q.TOKENIZER).collect()
     assert all(r.decoded == (r.text or "") for r in again)
-    few = bpe.bpe_encode(odd, Q.TOKENIZER, keep=["doc_id"])
+    few = bpe.bpe_encode(odd, Q.tokenizer(), keep=["doc_id"])
     assert few.columns == ["doc_id", "ids"]
     assert sorted((str(r.doc_id), r.ids) for r in few.collect()) == sorted((str(r.doc_id), r.ids) for r in again)
 
@@ -545,7 +545,7 @@ def test_very_long_texts(spark, sf_dir, name, monkeypatch):
 def test_tokenizer_files_of_other_kinds_are_refused(tmp_path):
     import json
 
-    spec = json.load(open(Q.TOKENIZER, encoding="utf-8"))
+    spec = json.load(open(Q.tokenizer(), encoding="utf-8"))
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
         with pytest.raises(ValueError):
             bpe.check_kind(spec | change)

@@ -149,3 +149,71 @@ k AS (SELECT a AS node, sum(copies) AS links FROM l GROUP BY a)
 SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
 FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN m ON s.s = m.s LEFT JOIN c ON c.node = m.node LEFT JOIN k ON k.node = m.node
 """
+
+#: Neighbours by the strings that lose one code point, five forms at most, each at least ten times as frequent; CRC-32 by its table.
+SPELLING = r"""
+WITH z AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS z),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+s AS (SELECT doc_id, run, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS h FROM s),
+y AS (SELECT run, c, list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)) AS y FROM b),
+h AS (SELECT run, c, xor(list_reduce(y, lambda c, k: xor(z[xor(c, k) % 256 + 1], c >> 8), 4294967295), 4294967295) AS h FROM y, z),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY word HAVING length(word) >= 7 AND sum(c) >= 2),
+g AS (SELECT word, n, unnest(range(length(word))) AS k FROM w),
+x AS (SELECT DISTINCT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS less FROM g),
+p AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM x AS a JOIN x AS b ON a.k = b.k AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x AS a JOIN w AS b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM x AS a JOIN w AS b ON a.less = b.word
+)
+, m AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n, CASE WHEN best_n >= 10 * w.n THEN best END AS form FROM w LEFT JOIN m USING (word)),
+t AS (SELECT a.word, a.form, a.n, a.n_near, a.form_n, b.form AS f2, c.form AS f3, d.form AS f4, e.form AS f5 FROM f AS a LEFT JOIN f AS b ON a.form = b.word LEFT JOIN f AS c ON b.form = c.word LEFT JOIN f AS d ON c.form = d.word LEFT JOIN f AS e ON d.form = e.word)
+SELECT word, form, coalesce(f5, f4, f3, f2, form, word) AS root, n, n_near, form_n FROM t
+"""
+
+#: Dates by fixed places; offsets of a zone a day before and after a wall time; every row by itself.
+STAMPS = r"""
+WITH t AS (SELECT stamp_id, source, zone, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM stamps),
+k AS (
+  SELECT *, regexp_full_match(x, '[0-9]{10}|[0-9]{13}') AS epoch,
+    coalesce(regexp_full_match(x, '(20[0-9][0-9]-[0-9]{2}-[0-9]{2}|20[0-9]{6}|[0-9]{2}\.[0-9]{2}\.20[0-9]{2}|[0-9]{2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) 20[0-9]{2}|[0-9]{2}/[0-9]{2}/20[0-9]{2})([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?( ?[AP]M)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?'), false) AS dated
+  FROM t
+), f AS (
+  SELECT stamp_id, source, zone, x, substr(x, 3, 1) = '/' AS slashed,
+    CASE WHEN substr(x, 5, 1) = '-' THEN substr(x, 1, 10) WHEN substr(x, 3, 1) IN ('.', '/') THEN substr(x, 7, 4) || '-' || substr(x, 4, 2) || '-' || substr(x, 1, 2)
+      WHEN substr(x, 3, 1) = ' ' THEN substr(x, 8, 4) || '-' || lpad(CAST((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', substr(x, 4, 3)) + 2) // 3 AS VARCHAR), 2, '0') || '-' || substr(x, 1, 2)
+      ELSE substr(x, 1, 4) || '-' || substr(x, 5, 2) || '-' || substr(x, 7, 2) END AS dm,
+    CASE WHEN substr(x, 3, 1) = '/' THEN substr(x, 7, 4) || '-' || substr(x, 1, 2) || '-' || substr(x, 4, 2) END AS md,
+    substr(x, CASE WHEN substr(x, 3, 1) = ' ' THEN 13 WHEN regexp_matches(x, '^[0-9]{8}') THEN 10 ELSE 12 END) AS clock
+  FROM k WHERE dated
+), g AS (
+  SELECT *, CASE WHEN clock = '' THEN 0 ELSE CAST(substr(clock, 1, 2) AS INT) END AS h, CASE WHEN clock = '' THEN 0 ELSE CAST(substr(clock, 4, 2) AS INT) END AS m,
+    CASE WHEN substr(clock, 6, 1) = ':' THEN CAST(substr(clock, 7, 2) AS INT) ELSE 0 END AS s, regexp_extract(clock, '[AP]M') AS half, regexp_extract(clock, 'Z|[+-].*') AS off
+  FROM f
+), c AS (
+  SELECT *, CASE WHEN half = '' THEN h ELSE h % 12 + CASE half WHEN 'PM' THEN 12 ELSE 0 END END AS hour,
+    CASE WHEN off = 'Z' THEN 0 WHEN off <> '' THEN (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END) * (CAST(off[2:3] AS INT) * 60 + CAST(off[-2:] AS INT)) END AS mins,
+    CASE WHEN half = '' THEN h <= 23 ELSE h BETWEEN 1 AND 12 END AND m <= 59 AND s <= 59 AND (off IN ('', 'Z') OR CAST(off[2:3] AS INT) <= 14 AND CAST(off[-2:] AS INT) <= 59) AS good
+  FROM g
+), d AS (SELECT stamp_id, source, zone, slashed, mins, unnest([1, 2]) AS way, try_cast(unnest([dm, md]) AS DATE) + to_hours(hour) + to_minutes(m) + to_seconds(s) AS wall FROM c WHERE good),
+o AS (
+  SELECT *, epoch_us(wall) AS w, epoch_us(timezone(zone, make_timestamptz(epoch_us(wall) - 86400000000))) - (epoch_us(wall) - 86400000000) AS before,
+    epoch_us(timezone(zone, make_timestamptz(epoch_us(wall) + 86400000000))) - (epoch_us(wall) + 86400000000) AS after FROM d WHERE wall IS NOT NULL
+), u AS (
+  SELECT *, epoch_us(timezone(zone, make_timestamptz(w - before))) = w AS early, epoch_us(timezone(zone, make_timestamptz(w - after))) = w AS late FROM o
+), r AS (
+  SELECT stamp_id, source, slashed, way, CASE WHEN mins IS NOT NULL THEN w - CAST(mins AS BIGINT) * 60000000 WHEN late AND NOT early THEN w - after ELSE w - before END AS us,
+    mins IS NULL AND CASE WHEN early AND late THEN before <> after ELSE NOT early AND NOT late END AS odd FROM u
+), p AS (
+  SELECT stamp_id, any_value(source) AS source, any_value(slashed) AS slashed, max(us) FILTER (way = 1) AS us1, max(us) FILTER (way = 2) AS us2, coalesce(bool_or(odd) FILTER (way = 1), false) AS odd1, coalesce(bool_or(odd) FILTER (way = 2), false) AS odd2
+  FROM r GROUP BY stamp_id
+), v AS (SELECT source, count(*) FILTER (us2 IS NULL) AS dm, count(*) FILTER (us1 IS NULL) AS md FROM p WHERE slashed GROUP BY source),
+q AS (
+  SELECT stamp_id, CASE WHEN NOT slashed OR us2 IS NULL OR us1 IS NULL OR us1 = us2 THEN 'plain' WHEN coalesce(dm, 0) = coalesce(md, 0) THEN 'default' ELSE 'votes' END AS rule, us1, us2, odd1, odd2, coalesce(dm > md, false) AS day
+  FROM p LEFT JOIN v ON p.source IS NOT DISTINCT FROM v.source
+)
+SELECT stamp_id, CASE WHEN epoch THEN CAST(x AS BIGINT) * CASE WHEN length(x) = 10 THEN 1000000 ELSE 1000 END WHEN rule = 'plain' THEN coalesce(us1, us2) WHEN day THEN us1 ELSE us2 END AS utc_us,
+  CASE WHEN epoch THEN 'epoch' ELSE coalesce(rule, 'bad') END AS rule, CASE WHEN rule = 'plain' THEN odd1 OR odd2 ELSE coalesce(rule IN ('votes', 'default'), false) END AS ambiguous
+FROM k LEFT JOIN q USING (stamp_id)
+"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import oracles
@@ -18,10 +17,18 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import classify_quality
 from tidemark.llm.sharding import pack_shards
+from tidemark.llm.spelling import spelling_variants
+from tidemark.llm.stamps import normalise_stamps
 from tidemark.llm.suffix_dedup import dedup_substrings
 
-#: The tokenizer file; a deployment names its own.
-TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER") or str(public_tokenizers.path("byte_bpe_50k.json"))
+
+def tokenizer() -> str:
+    """The tokenizer file: what TIDEMARK_TOKENIZER names, else one of the installed public ones."""
+    if named := os.environ.get("TIDEMARK_TOKENIZER"):
+        return named
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +75,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_stamps(table(spark, sf_dir, "stamps"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_sharding, op4_mixing, op5_quality, op6_suffix_dedup, op7_pii, op8_audio, op9_langid, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_sharding, op4_mixing, op5_quality, op6_suffix_dedup, op7_pii, op8_audio, op9_langid, op10_jaccard_join, op11_spelling, op12_stamps)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,4 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_suffix_dedup": oracles.SUBSTRINGS,
         "op7_pii": oracles.PERSONAL_DATA,
         "op10_jaccard_join": oracles.NEAR_COPIES,
+        "op11_spelling": oracles.SPELLING,
+        "op12_stamps": oracles.STAMPS,
     }
