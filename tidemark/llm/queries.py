@@ -16,6 +16,7 @@ from tidemark.llm.langid import identify_language
 from tidemark.llm.mixing import mix
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import classify_quality
+from tidemark.llm.secrets import find_secrets
 from tidemark.llm.sharding import pack_shards
 from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.stamps import normalise_stamps
@@ -83,8 +84,12 @@ def op12_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_stamps(table(spark, sf_dir, "stamps"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_sharding, op4_mixing, op5_quality, op6_suffix_dedup, op7_pii, op8_audio, op9_langid, op10_jaccard_join, op11_spelling, op12_stamps)}
+    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_sharding, op4_mixing, op5_quality, op6_suffix_dedup, op7_pii, op8_audio, op9_langid, op10_jaccard_join, op11_spelling, op12_stamps, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
