@@ -35,11 +35,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 #: What else may be a secret, and what it may consist of, smallest alphabet first.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
 ENCODINGS = {
     "decimal": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER, "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER,
-    "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_", "mixed": UPPER + LOWER + DIGITS + "+/-_=",
+    "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_", "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 NAMES = list(ENCODINGS)
 #: Alphabets that differ in case alone are judged together.
@@ -79,7 +79,7 @@ def battery(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chi = k / length * (counts.astype(float) ** 2).sum(axis=1) - length
     free = k - 1
     uneven = ((np.maximum(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))
-    p_chi = 0.5 * _erfc(uneven / math.sqrt(2))
+    p_chi = _erfc(np.abs(uneven) / math.sqrt(2))  # too even is as suspect as too uneven
     high = 2 * v >= k[:, None]
     up = high.sum(axis=1).astype(float)
     runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
@@ -92,7 +92,7 @@ def battery(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     serial = (length * beside - total**2) / np.where(varied > 0, varied, 1)
     z = (serial + 1 / (length - 1)) * (length - 1) * math.sqrt(length - 2) / length
     p_serial = np.where(varied > 0, _erfc(np.abs(z) / math.sqrt(2)), 0.0)
-    each = np.clip(np.stack([p_chi, p_runs, p_serial]), 1e-15, 1 - 1e-15)
+    each = np.clip(np.stack([p_chi, p_runs, p_serial]), 1e-15, 0.99)  # a perfect fit in one test must not outweigh the others
     return encoding, 0.5 - np.arctan(np.tan((0.5 - each) * math.pi).mean(axis=0)) / math.pi
 
 
@@ -114,16 +114,16 @@ def tested(tokens: list[str]) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans of the tokens that no base span touches, without closing signs of equality."""
+    """Spans of the tokens that no base span touches."""
     out, i = [], 0
     ends: list[int] = []
     for _, b, _ in base:  # base spans by start, with the furthest end so far
         ends.append(max(b, ends[-1] if ends else 0))
     for m in TOKEN.finditer(text):
-        a, b = m.start(), m.start() + len(m.group().rstrip("="))
-        while i < len(base) and base[i][0] < m.end():
+        a, b = m.span()
+        while i < len(base) and base[i][0] < b:
             i += 1
-        if b - a >= BANDS[0] and (i == 0 or ends[i - 1] <= a):
+        if i == 0 or ends[i - 1] <= a:
             out.append((a, b))
     return out
 
