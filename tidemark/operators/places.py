@@ -47,3 +47,9 @@ def with_places(rows: DataFrame, order: list[Column], out: str = "rn") -> DataFr
         sofar += r["n"]
     table = rows.sparkSession.createDataFrame(counts, f"{pid} long, {before} long")
     return dealt.join(F.broadcast(table), pid).withColumn(out, (F.col(at) + F.col(before)).cast("long")).drop(at, pid, before)
+
+
+def durable(rows: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder, so lost executors cost no more than their own work."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint(eager=True)

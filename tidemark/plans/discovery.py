@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import feedback as B
 from tidemark.operators import keyword_index as K
 from tidemark.operators import merge
+from tidemark.operators import trust as T
 from tidemark.operators import vector_index as V
 from tidemark.operators.places import remove, shared_folder
 from tidemark.plans import views as W
@@ -109,3 +111,94 @@ def vector_search(spark, sf_dir):
 def vector_exact(spark, sf_dir):
     """The same by probing all cells and measuring all rows."""
     return _near_vectors(spark, sf_dir, k=10, probes=1 << 20, rerank=None)
+
+
+# ---- feedback and trust
+def chain(first: str, step, steps: int) -> str:
+    """CTEs s0, s1, ... each made of the one before; every one is computed once."""
+    return ", ".join([f"s0 AS MATERIALIZED ({first})", *(f"s{i} AS MATERIALIZED ({step(f's{i - 1}')})" for i in range(1, steps + 1))])
+
+
+STRENGTH_STEPS = 10
+MEETINGS_SQL = """
+WITH price AS (SELECT l_partkey AS part, l_suppkey AS supplier, round(avg(l_extendedprice / l_quantity), 4) AS price FROM lineitem GROUP BY ALL),
+beside AS (SELECT supplier, price, lead(supplier) OVER part AS other, lead(price) OVER part AS other_price FROM price WINDOW part AS (PARTITION BY part ORDER BY supplier)),
+met AS (SELECT CASE WHEN price < other_price THEN supplier ELSE other END AS winner, CASE WHEN price < other_price THEN other ELSE supplier END AS loser FROM beside WHERE price <> other_price),
+both_ AS MATERIALIZED (SELECT item, other, count(*) AS n, sum(won) AS won FROM (SELECT winner AS item, loser AS other, 1 AS won FROM met UNION ALL SELECT loser, winner, 0 FROM met) GROUP BY ALL),
+items AS MATERIALIZED (SELECT item, CAST(sum(won) AS BIGINT) AS wins, CAST(sum(n) AS BIGINT) AS met FROM both_ GROUP BY item)
+"""
+
+
+@query(f"""{MEETINGS_SQL}, {chain("SELECT item, wins, met, CAST(1 AS DOUBLE) AS strength FROM items", lambda s: f'''
+SELECT a.item, a.wins, a.met, (a.wins + 1) / (load + 2 / (a.strength + 1)) AS strength FROM {s} AS a
+JOIN (SELECT b.item, sum(n / (x.strength + y.strength)) AS load FROM both_ AS b JOIN {s} AS x ON b.item = x.item JOIN {s} AS y ON b.other = y.item GROUP BY b.item) AS l ON a.item = l.item''', STRENGTH_STEPS)}
+SELECT item AS supplier, wins, met, round(strength, 4) AS strength FROM s{STRENGTH_STEPS}""")
+def supplier_strengths(spark, sf_dir):
+    """Suppliers by how they do against the next supplier of the same part: the lower mean price of a piece wins."""
+    from pyspark.sql import Window
+
+    piece = F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4)
+    price = W.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(piece.alias("price"))
+    part = Window.partitionBy("part").orderBy("supplier")
+    met = price.withColumns({"other": F.lead("supplier").over(part), "other_price": F.lead("price").over(part)}).where(F.col("price") != F.col("other_price"))
+    first = F.col("price") < F.col("other_price")
+    met = met.select(F.when(first, F.col("supplier")).otherwise(F.col("other")).alias("winner"), F.when(first, F.col("other")).otherwise(F.col("supplier")).alias("loser"))
+    found = B.strengths(met.groupBy("winner", "loser").agg(F.count("*").alias("n")), steps=STRENGTH_STEPS, tolerance=0.0)
+    return found.select(F.col("item").alias("supplier"), "wins", "met", F.round("strength", 4).alias("strength"))
+
+
+TRUST_STEPS = 12
+
+
+@query(f"""
+WITH l AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, l_returnflag AS flag, l_linestatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e0 AS (SELECT c AS source, s AS target, count(*) AS w FROM l WHERE flag <> 'R' GROUP BY ALL UNION ALL SELECT s, c, count(*) FROM l WHERE status = 'F' GROUP BY ALL),
+o AS (SELECT source, sum(w) AS total FROM e0 GROUP BY source), e AS MATERIALIZED (SELECT e0.source, target, CAST(w AS DOUBLE) / CAST(total AS DOUBLE) AS w FROM e0 JOIN o ON e0.source = o.source),
+seed AS (SELECT 'c' || c_custkey AS node, 1.0 / count(*) OVER () AS seed FROM customer WHERE c_acctbal > 9000),
+n AS MATERIALIZED (SELECT x.node, CAST(coalesce(seed, 0) AS DOUBLE) AS seed, o.source IS NULL AS idle FROM (SELECT source AS node FROM e UNION SELECT target FROM e UNION SELECT node FROM seed) AS x LEFT JOIN seed ON x.node = seed.node LEFT JOIN o ON x.node = o.source),
+{chain("SELECT node, seed AS trust FROM n", lambda s: f'''
+SELECT n.node, (0.15 + 0.85 * (SELECT coalesce(sum(trust), 0) FROM {s} JOIN n AS i ON i.node = {s}.node WHERE i.idle)) * seed + 0.85 * coalesce(got, 0) AS trust
+FROM n LEFT JOIN (SELECT target, sum(trust * w) AS got FROM e JOIN {s} ON e.source = {s}.node GROUP BY target) AS g ON n.node = g.target''', TRUST_STEPS)}
+SELECT node, round(trust, 9) AS trust FROM s{TRUST_STEPS}""")
+def supplier_trust(spark, sf_dir):
+    """Trust from customers with much on their accounts: customers trust suppliers of lines they kept, suppliers trust customers of finished lines."""
+    lines = W.table(spark, sf_dir, "lineitem").join(W.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select(F.concat(F.lit("c"), "o_custkey").alias("c"), F.concat(F.lit("s"), "l_suppkey").alias("s"), "l_returnflag", "l_linestatus")
+    kept = lines.where("l_returnflag <> 'R'").groupBy(F.col("c").alias("source"), F.col("s").alias("target")).agg(F.count("*").alias("weight"))
+    done = lines.where("l_linestatus = 'F'").groupBy(F.col("s").alias("source"), F.col("c").alias("target")).agg(F.count("*").alias("weight"))
+    seeds = W.table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit(1).alias("share"))
+    return T.propagate(kept.unionAll(done), seeds, steps=TRUST_STEPS, tolerance=0.0).select("node", F.round("trust", 9).alias("trust"))
+
+
+GRADES, GRADE_STEPS = 3, 8
+_each = lambda of: ", ".join(of(j) for j in range(GRADES))
+_plus = lambda of: " + ".join(of(j) for j in range(GRADES))
+
+
+def _em_sql() -> str:
+    """Each step: confusion by the beliefs before, then beliefs by the confusion and the mean of the beliefs before."""
+    parts = [f"b0 AS MATERIALIZED (SELECT item, {_each(lambda j: f'(sum(CASE WHEN grade = {j} THEN n ELSE 0 END) + CAST(1 AS DOUBLE) / {GRADES}) / (sum(n) + 1) AS p{j}')} FROM c GROUP BY item)"]
+    for i in range(1, GRADE_STEPS + 1):
+        b = f"b{i - 1}"
+        parts += [
+            f"w{i} AS MATERIALIZED (SELECT r.rater, r.grade, {_each(lambda j: f'coalesce(sum(n * p{j}), 0) + 1 AS w{j}')} FROM r LEFT JOIN (SELECT * FROM c JOIN {b} USING (item)) AS x ON r.rater = x.rater AND r.grade = x.grade GROUP BY r.rater, r.grade)",
+            f"k{i} AS MATERIALIZED (SELECT rater, grade, {_each(lambda j: f'w{j} / sum(w{j}) OVER (PARTITION BY rater) AS q{j}')} FROM w{i})",
+            f"l{i} AS MATERIALIZED (SELECT item, {_each(lambda j: f'sum(n * ln(q{j})) + ln((SELECT avg(p{j}) FROM {b})) AS l{j}')} FROM c JOIN k{i} USING (rater, grade) GROUP BY item)",
+            f"m{i} AS MATERIALIZED (SELECT *, greatest({_each(lambda j: f'l{j}')}) AS top FROM l{i})",
+            f"b{i} AS MATERIALIZED (SELECT item, {_each(lambda j: f'exp(l{j} - top) / ({_plus(lambda h: f"exp(l{h} - top)")}) AS p{j}')} FROM m{i})",
+        ]
+    return ", ".join(parts)
+
+
+@query(f"""
+WITH v AS (SELECT user_id AS rater, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS item, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS grade FROM events),
+c AS MATERIALIZED (SELECT rater, item, grade, CAST(count(*) AS DOUBLE) AS n FROM v WHERE rater IS NOT NULL GROUP BY ALL),
+r AS (SELECT rater, grade FROM (SELECT DISTINCT rater FROM c), (SELECT unnest(range({GRADES})) AS grade)), {_em_sql()}
+SELECT item, {_each(lambda j: f'round(p{j}, 6) AS p{j}')}, (SELECT CAST(sum(n) AS BIGINT) FROM c WHERE c.item = b{GRADE_STEPS}.item) AS ratings FROM b{GRADE_STEPS}""")
+def hour_grades(spark, sf_dir):
+    """How good each hour was by its events: users rate hours 0 with an error, 1 with a click, 2 otherwise, and differ in what these mean."""
+    events = W.table(spark, sf_dir, "events")
+    grade = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    rated = events.select(F.col("user_id").alias("rater"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long").alias("item"), grade.alias("grade"))
+    items, _, _ = B.graded(rated, GRADES, steps=GRADE_STEPS, tolerance=-1.0)
+    return items.select("item", *(F.round(F.col("p")[j], 6).alias(f"p{j}") for j in range(GRADES)), "ratings")
