@@ -1,4 +1,4 @@
-"""Registered queries over literal inputs: gates that take or refuse a whole state, and formats with known answers."""
+"""Cases over literal inputs with their answers: gates that take or refuse a whole state, and formats with known answers."""
 
 from __future__ import annotations
 
@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec, validate
 from tidemark.functions import columns as C
 from tidemark.operators import dml, merge, migrate, places, pointers, verify
-from tidemark.plans.registry import query, values
+from tidemark.plans.registry import values
 from tidemark.schema import MAX_RECORDS, RECORDS
 from tidemark.sources import lineage, messages, state
 
+CASES: dict[str, tuple[Callable, str]] = {}
+
+
+def query(sql: str):
+    """Keeps a case with the SQL of its answers."""
+
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 #: Keys for literal states alone: of the index, of its writer, of a stranger.
 ROOT, WRITER, STRANGER = b"\2" * 32, b"\1" * 32, b"\3" * 32
 SLUG = "default"

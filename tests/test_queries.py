@@ -2,8 +2,9 @@
 
 import pytest
 
+from tests.cases import CASES
 from tests.oracle import differences
-from tidemark.plans import cases, catalogue  # noqa: F401  both register their queries
+from tidemark.plans import catalogue, discovery  # noqa: F401  both register their queries
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
@@ -15,6 +16,21 @@ def test_query(spark, sf_dir, name):
         assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", CASES)
+def test_case(spark, sf_dir, name):
+    assert differences(spark, *CASES[name], sf_dir) is None
+
+
+def test_search_comes_in_browse_order(spark, sf_dir):
+    from tidemark.operators.search import search
+    from tidemark.plans import views
+
+    found = search(views.entries(spark, sf_dir), views.apps(spark), "")
+    rows = [(not r.featured, -r.added_at, r.subject_id) for r in found.collect()]
+    assert rows == sorted(rows) and len(rows) > 100
+    assert "Sort [featured" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -125,4 +125,4 @@ def point_lookup(records: DataFrame, subject_id: str, key: str = "filed_as") ->
 
 
 def not_acknowledged(missing: DataFrame, acks: DataFrame, on: str = "generation") -> DataFrame:
-    return missing.join(F.broadcast(acks.select(on)), on, "left_anti")
+    return missing.join(acks.select(on), on, "left_anti")

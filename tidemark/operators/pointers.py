@@ -58,6 +58,12 @@ def all_green(runs: DataFrame, ok: Column) -> DataFrame:
     return runs.agg(((F.count("*") > 0) & (F.count_if(~ok) == 0)).alias("green"))
 
 
+def green_of(groups: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """(key, green) for each group: whether it has runs and none is bad (`ok` false or null), in one aggregate."""
+    told = runs.groupBy(key).agg((F.count_if(~F.coalesce("ok", F.lit(False))) == 0).alias("green"))
+    return groups.join(told, key, "left").select(key, F.coalesce("green", F.lit(False)).alias("green"))
+
+
 def anchored(lines: DataFrame, key: str) -> bool:
     """Whether a key stands alone on a line."""
     return not lines.where(F.col("value") == key).isEmpty()

@@ -24,14 +24,18 @@ def list_order() -> list:
 
 
 def listed(entries: DataFrame) -> DataFrame:
-    """Newest first with the position as rn."""
+    """Newest first with the position as rn. All columns are sorted and kept, so select what is needed before."""
     return with_places(entries, list_order())
 
 
 def search(entries: DataFrame, apps: DataFrame, query: str = "", safe: bool = True) -> DataFrame:
-    """Cards in browse order, sorted by range."""
-    found = entries.where(C.is_safe(safe) & C.matches(query)).orderBy(*browse_order())
-    return cards(found, apps)
+    """Cards in browse order. They are sorted last: the optimizer drops an order below a join."""
+    return found(entries, apps, query, safe).orderBy(*browse_order())
+
+
+def found(entries: DataFrame, apps: DataFrame, query: str = "", safe: bool = True) -> DataFrame:
+    """Cards of what the search finds, in no order."""
+    return cards(entries.where(C.is_safe(safe) & C.matches(query)), apps)
 
 
 def cards(entries: DataFrame, apps: DataFrame) -> DataFrame:
@@ -41,9 +45,9 @@ def cards(entries: DataFrame, apps: DataFrame) -> DataFrame:
     )
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """Adds rn, the place in browse order."""
-    return with_places(found, browse_order())
+def numbered(cards: DataFrame) -> DataFrame:
+    """Adds rn, the place in browse order. All columns are sorted and kept, so select what is needed before."""
+    return with_places(cards, browse_order())
 
 
 def counts(entries: DataFrame, query: str = "", safe: bool = True) -> DataFrame:

@@ -35,8 +35,8 @@ SAFE_SQL = "(NOT judged OR NOT toxic)"
 
 
 def _cards(spark, sf_dir, term="", safe=True):
-    found = search.search(W.entries(spark, sf_dir), W.apps(spark), term, safe)
-    return search.numbered(found).select(*CARD)
+    found = search.found(W.entries(spark, sf_dir), W.apps(spark), term, safe)
+    return search.numbered(found.select(*CARD[1:], "featured", "added_at")).select(*CARD)
 
 
 @query(cards_sql(SAFE_SQL))
@@ -71,7 +71,7 @@ def search_counts(spark, sf_dir):
 
 @query(f"{W.ENTRIES_SQL} SELECT row_number() OVER (ORDER BY added_at DESC, subject_id) AS rn, subject_id, added_at FROM r")
 def list_recent(spark, sf_dir):
-    return search.listed(W.entries(spark, sf_dir)).select("rn", "subject_id", F.col("added_at").cast("long").alias("added_at"))
+    return search.listed(W.entries(spark, sf_dir).select("subject_id", F.col("added_at").cast("long").alias("added_at")))
 
 
 # ---- projections and joins
@@ -513,9 +513,8 @@ def read_back(spark, sf_dir):
 @query("SELECT r_regionkey AS region, r_regionkey NOT IN (1, 4) AS green FROM region")
 def rollup_green(spark, sf_dir):
     """Runs by region: one bad run spoils region 1, and none at all (region 4) isn't green."""
-    n = W.table(spark, sf_dir, "nation").where("n_regionkey <> 4")
-    rows = [(r, pointers.all_green(n.where(n.n_regionkey == r), (F.col("n_regionkey") != 1) | (F.col("n_nationkey") != 1)).first()["green"]) for r in range(5)]
-    return spark.createDataFrame(rows, "region int, green boolean")
+    runs = W.table(spark, sf_dir, "nation").where("n_regionkey <> 4").select(F.col("n_regionkey").alias("region"), ((F.col("n_regionkey") != 1) | (F.col("n_nationkey") != 1)).alias("ok"))
+    return pointers.green_of(W.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region")), runs, "region")
 
 
 # ---- streaming

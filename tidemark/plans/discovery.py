@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import diversity as D
 from tidemark.operators import feedback as B
 from tidemark.operators import keyword_index as K
 from tidemark.operators import merge
@@ -202,3 +203,26 @@ def hour_grades(spark, sf_dir):
     rated = events.select(F.col("user_id").alias("rater"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long").alias("item"), grade.alias("grade"))
     items, _, _ = B.graded(rated, GRADES, steps=GRADE_STEPS, tolerance=-1.0)
     return items.select("item", *(F.round(F.col("p")[j], 6).alias(f"p{j}") for j in range(GRADES)), "ratings")
+
+
+# ---- diversity
+PICKS = 10
+
+
+def _picks_sql() -> str:
+    parts = ["s0 AS MATERIALIZED (SELECT *, CAST(0 AS DOUBLE) AS worst FROM i)"]
+    for n in range(1, PICKS + 1):
+        s = f"s{n - 1}"
+        parts.append(f"p{n} AS MATERIALIZED (SELECT DISTINCT ON (lang) lang, {n} AS rn, id, round(0.7 * relevance - 0.3 * worst, 9) AS score, v FROM {s} ORDER BY lang, round(0.7 * relevance - 0.3 * worst, 9) DESC, id)")
+        parts.append(f"s{n} AS MATERIALIZED (SELECT s.lang, s.id, relevance, s.v, greatest(worst, list_cosine_similarity(s.v, p.v)) AS worst FROM {s} AS s JOIN p{n} AS p ON s.lang = p.lang AND s.id <> p.id)")
+    return ", ".join(parts)
+
+
+@query(f"""
+WITH i AS (SELECT lang, doc_id AS id, 1 - CAST(1 AS DOUBLE) / (1 + n_chars / 1000.0) AS relevance, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang IS NOT NULL), {_picks_sql()}
+{" UNION ALL ".join(f"SELECT lang, rn, id, round(score, 6) AS score FROM p{n}" for n in range(1, PICKS + 1))}""")
+def diverse_documents(spark, sf_dir):
+    """Ten documents of each language that are long and unlike each other by their embeddings."""
+    vectors = W.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = W.table(spark, sf_dir, "documents").where("lang is not null").select("lang", F.col("doc_id").alias("id"), (1 - 1 / (1 + F.col("n_chars") / 1000)).alias("relevance"))
+    return D.diverse(docs.join(vectors, "id"), "lang", PICKS).withColumn("score", F.round("score", 6))
