@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import collections as L
 from tidemark.operators import diversity as D
 from tidemark.operators import feedback as B
 from tidemark.operators import keyword_index as K
@@ -226,3 +227,25 @@ def diverse_documents(spark, sf_dir):
     vectors = W.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     docs = W.table(spark, sf_dir, "documents").where("lang is not null").select("lang", F.col("doc_id").alias("id"), (1 - 1 / (1 + F.col("n_chars") / 1000)).alias("relevance"))
     return D.diverse(docs.join(vectors, "id"), "lang", PICKS).withColumn("score", F.round("score", 6))
+
+
+# ---- collections
+@query("""
+WITH e AS (SELECT user_id AS collection, event_id, event_type, event_id % 3 AS curator, lpad(CAST(CAST(round(value * 100) AS BIGINT) % 9973 AS VARCHAR), 4, '0') || 'V' AS position, props FROM events),
+b AS (SELECT *, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY collection, curator ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+a AS (SELECT collection, event_id AS tag, props AS item FROM e WHERE event_type = 'click'),
+m AS (SELECT tag, arg_max(position, version) AS position FROM (SELECT event_id AS tag, event_id AS version, position FROM e WHERE event_type = 'click' UNION ALL SELECT before, event_id, position FROM b WHERE event_type = 'view' AND before IS NOT NULL) GROUP BY tag)
+SELECT a.collection, row_number() OVER (PARTITION BY a.collection ORDER BY position, CAST(a.tag AS VARCHAR)) AS nth, CAST(a.tag AS VARCHAR) AS tag, item
+FROM a JOIN m ON a.tag = m.tag WHERE a.tag NOT IN (SELECT before FROM b WHERE event_type = 'error' AND before IS NOT NULL) AND item IS NOT NULL
+""")
+def collection_lists(spark, sf_dir):
+    """events as edits of three curators: a click adds an element, a view moves the curator's last addition to that collection, an error removes it."""
+    from pyspark.sql import Window
+
+    position = F.concat(F.lpad((F.round(F.col("value") * 100).cast("long") % 9973).cast("string"), 4, "0"), F.lit("V"))
+    e = W.table(spark, sf_dir, "events").select(F.col("user_id").alias("collection"), "event_id", "event_type", F.col("event_id").alias("version"), (F.col("event_id") % 3).alias("curator"), position.alias("position"), F.col("props").alias("item"))
+    own = Window.partitionBy("collection", "curator").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("tag", F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(own))
+    later = e.where("tag is not null")
+    replicas = [L.merge(L.added(x.where("event_type = 'click'").withColumn("tag", F.col("event_id"))), L.moved(y.where("event_type = 'view'")), L.removed(y.where("event_type = 'error'"))) for x, y in ((e.where(F.col("curator") == c), later.where(F.col("curator") == c)) for c in range(3))]
+    return L.listed(L.merge(*replicas))
