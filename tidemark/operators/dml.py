@@ -34,6 +34,19 @@ def sign_records(records: DataFrame, seed: bytes) -> DataFrame:
     return records.withColumn("by", F.lit(codec.public_key(seed))).withColumn("sig", signed(record_message()))
 
 
+def sign_as(records: DataFrame, by: str, seed: str) -> DataFrame:
+    """Sets sig by each row's own column `seed`, and by from its column `by`; both are dropped. A key that isn't the seed's makes a forgery, as tests need them."""
+
+    @F.pandas_udf("binary")
+    def signed(seeds, messages):
+        import pandas as pd
+
+        return pd.Series([codec.sign(bytes(s), bytes(m)) for s, m in zip(seeds, messages, strict=True)], dtype=object)
+
+    made = records.withColumn("_by", F.col(by)).withColumn("_sig", signed(F.col(seed), record_message()))
+    return made.drop("by", "sig", by, seed).withColumnsRenamed({"_by": "by", "_sig": "sig"})
+
+
 def new_records(requests: DataFrame, now: int) -> DataFrame:
     """Unsigned first versions from (subject_id, kind, title, snippet, tags text, locator text, featured, class, pairs).
 

@@ -30,11 +30,12 @@ def empty_state(spark: SparkSession) -> State:
     return State(spark.createDataFrame([], RECORDS), spark.createDataFrame([], KEY_AUTH), spark.createDataFrame([], REGISTRY))
 
 
-def latest(records: DataFrame, key: str = "subject_id") -> DataFrame:
+def latest(records: DataFrame, key: str | list[str] = "subject_id") -> DataFrame:
     """For each key the row with the greatest (version, is_tomb, sig)."""
-    others = [c for c in records.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in records.columns if c not in keys]
     best = F.max_by(F.struct(*others), F.struct("version", "is_tomb", "sig")).alias("_best")
-    return records.groupBy(key).agg(best).select(key, "_best.*").select(*records.columns)
+    return records.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*records.columns)
 
 
 def pick_registry(registries: DataFrame) -> DataFrame:
@@ -64,9 +65,9 @@ def count_live_tomb(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(~F.col("is_tomb")).alias("live"), F.count_if("is_tomb").alias("tombstones"))
 
 
-def summarize_records(records: DataFrame) -> DataFrame:
-    """subject_id, version and fp, the first bytes of the signature."""
-    return records.select("subject_id", "version", C.fingerprint().alias("fp"))
+def summarize_records(records: DataFrame, key: tuple[str, ...] = ("subject_id",)) -> DataFrame:
+    """The key, version and fp, the first bytes of the signature."""
+    return records.select(*key, "version", C.fingerprint().alias("fp"))
 
 
 def summarize_head(state: State) -> DataFrame:
@@ -76,12 +77,12 @@ def summarize_head(state: State) -> DataFrame:
     return auth.crossJoin(apps)  # one row each
 
 
-def delta_records(records: DataFrame, summary: DataFrame) -> DataFrame:
+def delta_records(records: DataFrame, summary: DataFrame, key: tuple[str, ...] = ("subject_id",)) -> DataFrame:
     """Rows that the summary lacks, has older, or has at the same version with another, known fingerprint."""
-    theirs = summary.select("subject_id", F.col("version").alias("_version"), F.col("fp").alias("_fp"))
+    theirs = summary.select(*key, F.col("version").alias("_version"), F.col("fp").alias("_fp"))
     newer = F.col("_version").isNull() | (F.col("version") > F.col("_version"))
     other = (F.col("version") == F.col("_version")) & F.col("_fp").isNotNull() & (F.col("_fp") != C.fingerprint())
-    return records.join(theirs, "subject_id", "left").where(newer | other).select(*records.columns)
+    return records.join(theirs, list(key), "left").where(newer | other).select(*records.columns)
 
 
 def delta(state: State, summary: DataFrame, head: dict) -> State:

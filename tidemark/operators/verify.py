@@ -46,23 +46,25 @@ def record_violations(records: DataFrame, keys: list[bytes], order: tuple[str, .
     return signed.select("subject_id", F.coalesce(*(checks[c] for c in order)).alias("reason")).where("reason is not null")
 
 
-def registry_reason(registry: DataFrame, root: bytes, slug: str) -> str | None:
-    """Signature, binding to the index, then structure; the registry is one row of 64 apps at most."""
-    row = registry.first()
-    if row is None:
-        return None
-    apps = {k: v.asDict() for k, v in (row["apps"] or {}).items()}
-    if not codec.verify(root, registry_message(row["index_slug"], row["version"], apps), bytes(row["sig"] or b"")):
+def registry_problem(root: bytes, slug: str, index_slug: str, version: int, apps: dict, sig: bytes | None) -> str | None:
+    """Signature, binding to the index, then structure."""
+    if not codec.verify(root, registry_message(index_slug, version, apps), bytes(sig or b"")):
         return "registry signature"
-    if row["index_slug"] != slug:
+    if index_slug != slug:
         return "registry of another index"
-    if row["version"] < 1:
+    if version < 1:
         return "registry version"
     if len(apps) > MAX_APPS:
         return "too many apps"
     return next((f"app {k}: {r}" for k, v in sorted(apps.items()) if (r := app_reason(k, **v))), None)
 
 
+def registry_reason(registry: DataFrame, root: bytes, slug: str) -> str | None:
+    """registry_problem of the registry, if there is one; it is one row of 64 apps at most."""
+    row = registry.first()
+    return row and registry_problem(root, slug, row["index_slug"], row["version"], {k: v.asDict() for k, v in (row["apps"] or {}).items()}, row["sig"])
+
+
 def head_reason(state: State, root: bytes, slug: str) -> str | None:
     row = state.key_auth.first()
     if row is None:
