@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, spread, whole
+from tidemark.llm.common import quoted, small_batches, ticked, whole
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
@@ -175,7 +175,7 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, row) -> Data
 
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return spread(df.select(F.col(id_col), whole(text_col).cast("binary").alias("_data"))).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return df.select(quoted(id_col), whole(quoted(text_col)).cast("binary").alias("_data")).mapInArrow(run, f"{ticked(id_col)} {kind}, {schema}")
 
 
 def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches, spread, unused, whole
+from tidemark.llm.common import quoted, small_batches, ticked, unused, whole
 
 # Fixed values of the public byte-level pre-tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -253,8 +253,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     small_batches(df.sparkSession)
-    df = df.select(*(f"`{c}`" for c in keep), F.col(text_col).alias(unused(df, "_whole")))
-    df = spread(df)
+    df = df.select(*map(quoted, keep), quoted(text_col).alias(unused(df, "_whole")))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,5 +306,5 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(df.sparkSession)
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return spread(df.select(F.col(id_col), whole(text_col).alias("_text"))).mapInArrow(run, schema)
+    schema = f"{ticked(id_col)} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return df.select(quoted(id_col), whole(quoted(text_col)).alias("_text")).mapInArrow(run, schema)

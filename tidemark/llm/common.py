@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType
 
 from tidemark.operators.places import remove, shared_folder
 
-__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "remove", "row_key", "running", "shared_folder", "small_batches", "spread", "unused", "whole"]
+__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "quoted", "remove", "row_key", "running", "shared_folder", "small_batches", "ticked", "unused", "whole"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,21 +42,6 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), F.sha2(whole(text_col), 256))
 
 
-#: Bytes for each core up to which a table of few files is dealt out again.
-SPREAD_BYTES = 16 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table of fewer files than there are cores, dealt to all of them; other tables as they are.
-
-    A file is often one row group, which one task reads; what is done in that task with every text
-    costs far more than moving a few MB. Large tables are never moved.
-    """
-    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
-    few = 0 < len(df._jdf.inputFiles()) < cores and int(str(plan.stats().sizeInBytes())) < cores * SPREAD_BYTES
-    return df.repartition(cores) if few else df
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df hasn't got."""
     taken = {c.lower() for c in df.columns}
@@ -64,9 +50,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def ticked(name: str) -> str:
+    """A name as it is written in a schema, whatever signs it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name."""
+    return F.col(ticked(name))
+
+
+def _told_apart(c: Column, kind: DataType) -> Column:
+    """A value as text that no other value of its type shares: JSON for nested ones, in which nulls and texts differ, maps as their entries."""
+
+    def plain(x: Column, t: DataType) -> Column:
+        if isinstance(t, MapType):
+            return F.transform(F.map_entries(x), lambda e: F.struct(plain(e["key"], t.keyType).alias("k"), plain(e["value"], t.valueType).alias("v")))
+        if isinstance(t, ArrayType):
+            return F.transform(x, lambda e: plain(e, t.elementType))
+        if isinstance(t, StructType):
+            return F.when(x.isNotNull(), F.struct(*(plain(x.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(t.fields))))
+        return F.hex(x) if isinstance(t, BinaryType) else x.cast("string")
+
+    if isinstance(kind, (MapType, ArrayType, StructType)):
+        return F.to_json(F.struct(plain(c, kind).alias("v")), {"ignoreNullFields": "false"})
+    return c.cast("string")
+
+
 def identity(df: DataFrame) -> Column:
-    """A hash of a whole row: rows that share it are equal in every column, nulls included."""
-    each = [F.coalesce(F.sha2(F.col(f"`{c.replace('`', '``')}`").cast("string").cast("binary"), 256), F.lit("null")) for c in df.columns]
+    """A hash of a whole row: rows that share it are equal in every column, nulls included, within nested values too."""
+    each = [F.coalesce(F.sha2(_told_apart(quoted(f.name), f.dataType).cast("binary"), 256), F.lit("null")) for f in df.schema.fields]
     return F.sha2(F.concat_ws("#", *each), 256)
 
 

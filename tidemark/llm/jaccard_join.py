@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, one_of_each, partitions, row_key, small_batches, spread, whole
+from tidemark.llm.common import durable, one_of_each, partitions, row_key, small_batches, whole
 from tidemark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -115,7 +115,7 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     key = row_key(id_col, text_col)
     small_batches(df.sparkSession)
-    rows = spread(df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.octet_length(whole(text_col)).cast("long").alias("_bytes"), whole(text_col).alias("_text")))
+    rows = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.octet_length(whole(text_col)).cast("long").alias("_bytes"), whole(text_col).alias("_text"))
     rows = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_key", "_bytes", "_text")
     return rows.mapInArrow(run, f"_row long, _id {df.schema[id_col].dataType.simpleString()}, _key string, _bytes long, _set binary, _sketch binary")
 

@@ -122,8 +122,7 @@ wording AS (SELECT r, string_agg(term, ' ' ORDER BY a) AS mark FROM outside GROU
 pair AS (
   SELECT entity, term, count(*) AS both_, count(DISTINCT mark) AS wordings FROM holds JOIN (SELECT DISTINCT r, term FROM outside) USING (r) JOIN wording USING (r) GROUP BY entity, term
 ), told AS (
-  SELECT entity, term FROM pair JOIN c USING (term) JOIN e USING (entity), total
-  WHERE 1 - log2(greatest(both_, c_t) / both_ * (wordings + 1) / wordings) / log2(n / c_e) >= 0.9
+  SELECT entity, term FROM pair JOIN c USING (term) JOIN e USING (entity) WHERE greatest(both_, c_t) * (wordings + 1) <= 2 * both_ * wordings
 ), shown AS (SELECT DISTINCT r, term FROM holds JOIN told USING (entity) JOIN (SELECT DISTINCT r, term FROM outside) USING (r, term)),
 base AS (SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS base, count(*) FILTER (WHERE k = 1) AS n_email, count(*) FILTER (WHERE k = 2) AS n_ip, count(*) FILTER (WHERE k = 3) AS n_card, count(*) FILTER (WHERE k = 4) AS n_phone FROM entity GROUP BY r),
 more AS (SELECT r, string_agg('term:' || a || ':' || b, ',' ORDER BY a) AS more FROM outside JOIN shown USING (r, term) GROUP BY r)

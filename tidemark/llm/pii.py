@@ -2,13 +2,17 @@
 
 Protected entities are what four patterns find (email, ip, card, phone). Over the whole corpus
 it is then estimated how strongly a term that stands in a document with an entity reveals it: the
-pointwise mutual information of the two as a share of the entity's own information content,
-    log2(N c(e,t) / (c(e) c(t)) * k / (k + 1)) / log2(N / c(e)),
+bits of doubt that are left about the entity for who knows the term, which is the entity's own
+information less the pointwise mutual information of the two,
+    log2(c(t) / c(e,t) * (k + 1) / k),
 with document counts and k, the number of differently worded documents of the pair: a pair is
-reckoned as if one more document had the term without the entity, so rare pairs need entities of
-much information and copies of one document don't make its every word revealing. Terms above the
-threshold are added as spans of kind `term` wherever they stand in the entity's documents, to be
+reckoned as if one more document had the term without the entity, so few documents leave more doubt than
+many, and copies count as one. The doubt doesn't depend on the size of the corpus. Terms that leave no more
+than the threshold are added as spans of kind `term` wherever they stand in the entity's documents, to be
 generalised with it.
+
+Entities that stand in the same documents are one class, and so are terms; what is counted
+together are classes, so a document of many entities and many terms isn't their product.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, small_batches, spread, whole
+from tidemark.llm.common import durable, small_batches, whole
 
 KINDS = ("email", "ip", "card", "phone")
 # The characters and shapes of the four kinds.
@@ -131,7 +135,7 @@ def scan_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     schema = f"_row long, _id {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms string, mark long, packed binary"
-    texts = spread(df.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")))
+    texts = df.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     return texts.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(run, schema)
 
 
@@ -152,29 +156,38 @@ def counted_terms(df: DataFrame, text_col: str) -> DataFrame:
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
-    return spread(df.select(whole(text_col).alias("_text"))).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
+    return df.select(whole(text_col).alias("_text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
+
+
+def _classes(stands: DataFrame, what: str) -> DataFrame:
+    """(what, _class, rows) from (_row, what): those that stand in the same rows share a class, told by two sums of hashes and the number of rows."""
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "_row").cast("decimal(38,0)"))
+    sums = stands.groupBy(what).agg(F.count("*").alias("rows"), wide(1).alias("_a"), wide(2).alias("_b"))
+    return sums.select(what, F.sha2(F.concat_ws("#", "rows", "_a", "_b"), 256).alias("_class"), "rows")
 
 
-def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, disclosure: float) -> DataFrame:
+def revealing_terms(scanned: DataFrame, df: DataFrame, text_col: str, doubt: float) -> DataFrame:
     """For each row that has some: _row and revealing, its revealing terms parted by spaces."""
     n = scanned.count()
     beside = scanned.select("_row", "mark", F.explode("entities").alias("entity"))
-    entities = durable(beside.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") < n))
-    # No term of more documents can reach the share, whatever the documents of the pair.
-    most = F.pow("c_e", F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * (1 + 1e-9)
-    ceiling = entities.agg(F.max(most).alias("x")).first()["x"]
-    if ceiling is None:
+    known = _classes(beside, "entity").withColumnsRenamed({"_class": "entity_class", "rows": "c_e"}).where(F.col("c_e") < n)
+    beside = durable(beside.join(known, "entity").select("_row", "mark", "entity_class", "c_e").distinct())
+    most = beside.agg(F.max("c_e").alias("x")).first()["x"]
+    if most is None:
         return scanned.select("_row", F.lit("").alias("revealing")).limit(0)
-    beside = beside.join(entities, "entity")
-    bounds = beside.groupBy("_row").agg(F.max(most).alias("most"))
+    # A term of more documents leaves more doubt about any entity, whatever the documents of the pair.
+    reach = 2.0**doubt
+    bounds = beside.groupBy("_row").agg(F.max("c_e").alias("most"))
     held = scanned.where(F.col("terms") != "").select("_row", F.explode(F.split("terms", " ")).alias("term"))
-    rare = held.join(counted_terms(df, text_col), "term").where(F.col("c_t") <= ceiling)
-    rare = durable(rare.join(bounds, "_row").where(F.col("c_t") <= F.col("most")).drop("most"))
-    pairs = rare.join(beside, "_row").groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("mark").alias("wordings"), F.max("c_t").alias("c_t"), F.max("c_e").alias("c_e"))
-    known = F.log2(F.lit(n) / F.col("c_e"))
-    unsure = F.log2(F.greatest("both", "c_t") / F.col("both") * (F.col("wordings") + 1) / F.col("wordings"))
-    told = pairs.where(1 - unsure / known >= disclosure).select("entity", "term")
-    found = rare.select("_row", "term").join(beside.select("_row", "entity"), "_row").join(told, ["entity", "term"], "left_semi")
+    rare = held.join(counted_terms(df, text_col), "term").where(F.col("c_t") <= reach * most)
+    rare = durable(rare.join(bounds, "_row").where(F.col("c_t") <= reach * F.col("most")).drop("most"))
+    alike = _classes(rare, "term").select("term", F.col("_class").alias("term_class"))
+    rare = durable(rare.join(alike, "term").withColumn("term_class", F.concat_ws("#", "term_class", "c_t")))
+    kinds = rare.select("_row", "term_class", "c_t").distinct()
+    pairs = kinds.join(beside, "_row").groupBy("entity_class", "term_class").agg(F.count("*").alias("both"), F.count_distinct("mark").alias("wordings"), F.max("c_t").alias("c_t"))
+    told = pairs.where(F.greatest("both", "c_t") * (F.col("wordings") + 1) <= reach * F.col("both") * F.col("wordings")).select("entity_class", "term_class")
+    shown = kinds.select("_row", "term_class").join(beside.select("_row", "entity_class"), "_row").join(told, ["entity_class", "term_class"], "left_semi").select("_row", "term_class").distinct()
+    found = rare.select("_row", "term", "term_class").join(shown, ["_row", "term_class"], "left_semi")
     return found.groupBy("_row").agg(F.array_join(F.collect_set("term"), " ").alias("revealing"))
 
 
@@ -192,19 +205,19 @@ def term_spans(packed, revealing):
     return pd.Series(out, dtype=object)
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.9) -> DataFrame:
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", doubt: float = 1.0) -> DataFrame:
     """One row for each row of df: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     spans lists kind:start:end of the entities and then of revealing terms (kind `term`), which
-    never overlap entities. `disclosure` is the share of an entity's information that a term
-    must give away; terms are judged and marked over the whole of an entity's documents, however
+    never overlap entities. `doubt` is how many bits of doubt about an entity a term must at most leave;
+    terms are judged and marked over the whole of an entity's documents, however
     long. In documents without the entity they stay: with the entity's own documents clean, they
     lead nowhere. Null counts as empty: no spans. Repeated rows each have their result; an empty
     table gives an empty table; other columns don't matter.
     """
     small_batches(df.sparkSession)
     scanned = durable(scan_personal(df, id_col, text_col))
-    added = revealing_terms(scanned, df, text_col, disclosure)
+    added = revealing_terms(scanned, df, text_col, doubt)
     return scanned.join(added, "_row", "left").withColumn("more", F.pandas_udf(term_spans, "string")("packed", "revealing")).select(
         F.col("_id").alias(id_col),
         *(f"n_{k}" for k in KINDS),

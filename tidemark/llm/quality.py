@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, spread, whole
+from tidemark.llm.common import small_batches, whole
 
 DIMENSIONS = 1 << 18
 #: Labelled documents to learn from at most, by hash of id; longer ones teach nothing. A text has at most four bytes of
@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features.of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["_label_id", "_grade", "_features"])
 
     # Ids and grades are broadcast, texts stay. Rows with one id teach once, so at most `sample` rows come.
-    labelled = spread(docs.where(F.octet_length(whole(text_col)) <= SAMPLE_BYTES).select(F.col(id_col).alias("_doc_id"), whole(text_col).alias("_text")))
+    labelled = docs.where(F.octet_length(whole(text_col)) <= SAMPLE_BYTES).select(F.col(id_col).alias("_doc_id"), whole(text_col).alias("_text"))
     kind = chosen.schema["_label_id"].dataType.simpleString()
     taught = labelled.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select("_label_id", "_grade", "_text").mapInArrow(run, f"_label_id {kind}, _grade int, _features binary")
     rows = taught.groupBy("_label_id").agg(F.min(F.struct("_grade", "_features")).alias("_x")).select("_x.*").collect()
@@ -169,7 +169,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     verdict = verdicts(model)
-    texts = spread(docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")))
+    texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     return texts.select("_id", verdict("_text").alias("_v")).select(F.col("_id").alias(id_col), "_v.expected_grade", "_v.p_good", (F.col("_v.p_good") >= 0.5).alias("kept"))
 
 
@@ -198,4 +198,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns, whatever these are called."""
     verdict = verdicts(fit_quality(docs, labels, id_col, text_col))
-    return spread(docs).where(verdict(whole(text_col))["p_good"] >= 0.5)
+    return docs.where(verdict(whole(text_col))["p_good"] >= 0.5)

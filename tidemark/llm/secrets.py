@@ -85,7 +85,7 @@ def battery(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
     mean = 2 * up * (length - up) / length + 1
     spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (length - 1), 0))
-    p_runs = np.where(spread > 0, _erfc(np.abs(runs - mean) / np.where(spread > 0, spread, 1) / math.sqrt(2)), 2.0 ** (1 - length))
+    p_runs = np.where(spread > 0, _erfc(np.abs(runs - mean) / np.where(spread > 0, 1) / math.sqrt(2)), 2.0 ** (1 - length))
     total, squares = v.sum(axis=1).astype(float), (v * v).sum(axis=1).astype(float)
     beside = (v * np.roll(v, -1, axis=1)).sum(axis=1).astype(float)
     varied = length * squares - total**2

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.common import partitions, whole
 
@@ -492,6 +493,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group. Ids are integers. An empty table gives an empty table; other columns don't matter.
     hot_places changes where strings are compared, not the result.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer: the order of documents decides what is kept")
     spark = df.sparkSession
     own = partitions(spark)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
