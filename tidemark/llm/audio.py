@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import quoted, small_batches, ticked, whole
+from tidemark.llm.common import quoted, small_batches, whole
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
@@ -163,7 +163,7 @@ def described(table: pa.Table) -> str:
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, row) -> DataFrame:
     """row(bytes) for each text's bytes, behind its id."""
-    names = [id_col] + [c.split()[0] for c in schema.split(", ")]
+    names = ["_id"] + [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,8 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, row) -> Data
 
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(quoted(id_col), whole(quoted(text_col)).cast("binary").alias("_data")).mapInArrow(run, f"{ticked(id_col)} {kind}, {schema}")
+    texts = df.select(quoted(id_col).alias("_id"), whole(quoted(text_col)).cast("binary").alias("_data"))
+    return texts.mapInArrow(run, f"_id {kind}, {schema}").toDF(id_col, *names[1:])
 
 
 def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

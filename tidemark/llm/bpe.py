@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import quoted, small_batches, ticked, unused, whole
+from tidemark.llm.common import quoted, small_batches, whole
 
 # Fixed values of the public byte-level pre-tokenizer.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -253,8 +253,9 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     small_batches(df.sparkSession)
-    df = df.select(*map(quoted, keep), quoted(text_col).alias(unused(df, "_whole")))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    # Workers know columns by place: not every name can be handed to them.
+    df = df.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(keep)), quoted(text_col).alias("_text"))
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -264,9 +265,9 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids
                 ids = bpe.encode(values[a:b])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], lists], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], lists], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*keep, out)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -303,8 +304,8 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     n.append(len(ids))
                     coded.append(sha(",".join([text_of[i] for i in ids]).encode()).hexdigest())
                     decoded.append(sha(bpe.decode(ids).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(df.sparkSession)
-    schema = f"{ticked(id_col)} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(quoted(id_col), whole(quoted(text_col)).alias("_text")).mapInArrow(run, schema)
+    schema = f"_id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return df.select(quoted(id_col).alias("_id"), whole(quoted(text_col)).alias("_text")).mapInArrow(run, schema).toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructTy
 
 from tidemark.operators.places import remove, shared_folder
 
-__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "quoted", "remove", "row_key", "running", "shared_folder", "small_batches", "ticked", "unused", "whole"]
+__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "quoted", "remove", "row_key", "running", "shared_folder", "small_batches", "whole"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -42,22 +42,9 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("#"), F.sha2(whole(text_col), 256))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df hasn't got."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def ticked(name: str) -> str:
-    """A name as it is written in a schema, whatever signs it holds."""
-    return f"`{name.replace('`', '``')}`"
-
-
 def quoted(name: str) -> Column:
-    """The column of that very name."""
-    return F.col(ticked(name))
+    """The column of that very name, whatever signs it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def _told_apart(c: Column, kind: DataType) -> Column:
