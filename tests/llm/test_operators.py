@@ -501,10 +501,11 @@ def brute_classes(rows):
     return by_text((n, least.get(find(i)), links[i]) for i, (n, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("small,block", [(256, 2048), (4, 8)])
-def test_jaccard_join(spark, odd, docs, small, block, monkeypatch):
+@pytest.mark.parametrize("small,block,size", [(256, 2048, 32 << 20), (4, 8, 32 << 20), (4, 2048, 3000)])
+def test_jaccard_join(spark, odd, docs, small, block, size, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:k] + [f"n{i}"] + base[k + 1 :])) for i, k in enumerate(rng.randrange(120) for _ in range(40))]
@@ -536,9 +537,10 @@ def test_recall_of_ids_divisible_by_50(spark):
 def test_slots_of_a_large_cluster_are_bounded(spark):
     n = 50_000
     found = spark.range(n + 1000).select(F.when(F.col("id") < n, 7).otherwise(F.col("id")).alias("path"), F.col("id").alias("node"), F.when(F.col("id") < n, n).otherwise(1).alias("n"), F.lit(2000).alias("_bytes"))
-    slots = jaccard_join.slot_count(found, "n", "_bytes")
-    rows = jaccard_join.in_slots(jaccard_join.in_blocks(found, "path", "node", "n"), "path", slots).groupBy("_slot").count()
-    pairs = jaccard_join.in_blocks(found, "path", "node", "n").where("path = 7").groupBy("_i", "_j").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    many = jaccard_join.parts("n")
+    slots = jaccard_join.slot_count(found, many, "_bytes")
+    rows = jaccard_join.in_slots(jaccard_join.in_blocks(found, "path", "node", many), "path", slots).groupBy("_slot").count()
+    pairs = jaccard_join.in_blocks(found, "path", "node", many).where("path = 7").groupBy("_i", "_j").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
     blocks = -(-n // jaccard_join.BLOCK)
     assert pairs.n == blocks * (blocks + 1) // 2 and pairs.most <= 2.2 * jaccard_join.BLOCK
     assert rows.agg(F.max("count")).first()[0] < 8 * jaccard_join.NODES_A_SLOT

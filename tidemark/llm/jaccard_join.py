@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCH, DEPTH, SMALL, BLOCK = 64, 3, 256, 2048
 #: Nodes, and bytes of their texts, that are compared together, on average at most.
 NODES_A_SLOT, BYTES_A_SLOT = 4096, 16 << 20
+#: Bytes of texts of a block, at most about; a pair of blocks is compared in one task.
+BLOCK_BYTES = 32 << 20
 #: Shingles that are multiplied at a time.
 COLUMNS = 4096
 RECALL = 0.999
@@ -159,24 +161,24 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     return done
 
 
-def in_blocks(df: DataFrame, group: str, node: str, n: str) -> DataFrame:
-    """Adds _i, _j, _side: groups of more than BLOCK nodes are dealt to pairs of blocks, others stay whole."""
-    many = F.ceil(F.col(n) / BLOCK).cast("int")
+def parts(n: str, size: str | None = None) -> Column:
+    """Into how many blocks a group is cut: by its nodes and, if given, by its bytes."""
+    by_nodes = F.ceil(F.col(n) / BLOCK)
+    return (F.greatest(by_nodes, F.ceil(F.col(size) / BLOCK_BYTES)) if size else by_nodes).cast("int")
+
+
+def in_blocks(df: DataFrame, group: str, node: str, many: Column) -> DataFrame:
+    """Adds _i, _j, _side: groups of more than one block are dealt to pairs of blocks, others stay whole."""
     own = F.pmod(F.xxhash64(node, group), many).cast("int")
-    pairs = F.when(F.col(n) <= BLOCK, F.array(F.struct(F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(0).alias("_side")))).otherwise(
+    pairs = F.when(many <= 1, F.array(F.struct(F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(0).alias("_side")))).otherwise(
         F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.struct(F.least(k, own).alias("_i"), F.greatest(k, own).alias("_j"), (k < own).cast("int").alias("_side")))
     )
     return df.withColumn("_b", F.explode(pairs)).select("*", "_b.*").drop("_b")
 
 
-def times_sent(n: str) -> Column:
-    """In how many pairs of blocks a node of a group of n is."""
-    return F.when(F.col(n) <= BLOCK, 1).otherwise(F.ceil(F.col(n) / BLOCK)).cast("long")
-
-
-def slot_count(groups: DataFrame, n: str, size: str | None = None) -> int:
-    """Slots among which all pairs of blocks of groups' nodes are dealt, by their rows and, if given, their bytes."""
-    sent = times_sent(n)
+def slot_count(groups: DataFrame, many: Column, size: str | None = None) -> int:
+    """Slots among which all pairs of blocks of groups' nodes are dealt, by their rows and, if given, their bytes; a node is in as many pairs as its group has blocks."""
+    sent = many.cast("long")
     sums = groups.agg(F.sum(sent).alias("rows"), F.sum(sent * F.col(size) if size else F.lit(0)).alias("bytes")).first()
     return max(4 * partitions(groups.sparkSession), (sums["rows"] or 0) // NODES_A_SLOT, (sums["bytes"] or 0) // BYTES_A_SLOT)
 
@@ -254,8 +256,8 @@ def candidate_edges(nodes: DataFrame, found: DataFrame) -> DataFrame:
             b.append(root[members != root])
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    rows = in_blocks(found, "path", "node", "n").join(nodes.select("node", "_sketch"), "node")
-    return in_slots(rows, "path", slot_count(found, "n")).groupBy("_slot").applyInArrow(compare, "a long, b long")
+    rows = in_blocks(found, "path", "node", parts("n")).join(nodes.select("node", "_sketch"), "node")
+    return in_slots(rows, "path", slot_count(found, parts("n"))).groupBy("_slot").applyInArrow(compare, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, within: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -303,14 +305,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = durable(sets.agg(F.min("_row").alias("node"), F.count("*").alias("_copies"), F.first("_sketch").alias("_sketch"), F.min(F.struct("_row", "_key", "_bytes")).alias("_first")).select("_set", "node", "_copies", "_sketch", "_first._key", "_first._bytes"))
     edges = candidate_edges(nodes, leaves(nodes, runs_needed()))
     near = components(edges)
-    group_sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = durable(near.join(group_sizes, "root").join(nodes.drop("_sketch"), "node"))
+    near = near.join(nodes.drop("_sketch"), "node")
+    group_sizes = near.groupBy("root").agg(F.count("*").alias("n"), F.sum("_bytes").alias("_size"))
+    members = durable(near.join(group_sizes, "root"))
 
     text_key = row_key(id_col, text_col)
     texts = df.select(text_key.alias("_key"), whole(text_col).alias("_text"))
-    asked = members.select("_key", "root", "node", "n", "_copies")
+    asked = members.select("_key", "root", "node", "n", "_size", "_copies")
     # Rows that are repeated many times would fill one task; one of each key is enough.
-    cut = in_slots(in_blocks(texts.join(asked, "_key").dropDuplicates(["_key"]), "root", "node", "n"), "root", slot_count(members, "n", "_bytes"))
+    many = parts("n", "_size")
+    cut = in_slots(in_blocks(texts.join(asked, "_key").dropDuplicates(["_key"]), "root", "node", many), "root", slot_count(members, many, "_bytes"))
 
     def verify(table: pa.Table) -> pa.Table:
         words = Words()
