@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.validate import record_reason, signature_ok, well_formed_subject
 from tidemark.operators.merge import delta_records, latest, pick_registry, summarize_records
+from tidemark.operators.places import durable
 from tidemark.operators.verify import key_auth_message, record_message, registry_problem
 from tidemark.schema import MAX_KEYS, MAX_RECORDS
 
@@ -105,7 +106,7 @@ def apply_deltas(ix: Indexes, delta: Indexes) -> tuple[Indexes, DataFrame]:
     none = F.when(F.col("_own").isNull() & F.col("_new").isNull(), "no key_auth")
     reason = F.coalesce("_auth", changed, "_registry", none, "_record", F.when(F.col("_n").isNotNull(), "too many records"))
     asked = delta.records.select("index_slug").unionByName(delta.key_auths.select("index_slug")).unionByName(delta.registries.select("index_slug")).distinct()
-    refused = told.select("index_slug", reason.alias("reason")).where("reason is not null").join(asked, "index_slug", "left_semi")
+    refused = durable(told.select("index_slug", reason.alias("reason")).where("reason is not null").join(asked, "index_slug", "left_semi"))  # decided once
     taken = lambda rows: rows.join(refused.select("index_slug"), "index_slug", "left_anti")
     registries = ix.registries.unionByName(taken(delta.registries)).select(F.col("index_slug").alias("_of"), "registry.*")
     picked = pick_registry(registries.drop("index_slug").withColumnRenamed("_of", "index_slug"))

@@ -49,7 +49,7 @@ def heads(slugs: DataFrame, spark: SparkSession, stranger: Column, absent: Colum
     apps = F.create_map(F.lit("garden"), F.struct(*(F.lit(v).alias(k) for k, v in GARDEN["garden"].items())))
     signed = F.struct(of.alias("index_slug"), F.lit(1).alias("version"), apps.alias("apps"), registry_sig(of).alias("sig"))
     kind = spark.createDataFrame([], REGISTRY).schema.simpleString()
-    return auths, slugs.select("index_slug", signed.cast(kind).alias("registry")), slugs.select("index_slug", F.lit(codec.public_key(ROOT)).alias("root"))
+    return auths, durable(slugs.select("index_slug", signed.cast(kind).alias("registry"))), slugs.select("index_slug", F.lit(codec.public_key(ROOT)).alias("root"))
 
 
 def documents_as_indexes(spark: SparkSession, sf_dir: str) -> M.Indexes:
@@ -60,7 +60,7 @@ def documents_as_indexes(spark: SparkSession, sf_dir: str) -> M.Indexes:
     title = F.when(F.col("_how") == "title", "").otherwise(F.concat(F.lit("Document "), F.col("_n").cast("string")))
     records = d.select("index_slug", "subject_id", F.lit(1).cast(U64).alias("version"), F.lit(False).alias("is_tomb"), site(title, F.col("_n"), F.col("lang")).alias("entry"), F.when(F.col("_how") == "filed", F.concat("subject_id", F.lit("x"))).otherwise(F.col("subject_id")).alias("filed_as"), "_how")
     records = durable(forged(records, F.col("_how")).drop("_how"))  # signed once
-    slugs = d.select("index_slug", "_k").distinct()
+    slugs = durable(d.select("index_slug", "_k").distinct())
     return M.Indexes(records, *heads(slugs, spark, F.col("_k") == 7, F.col("_k") == 9, F.col("_k") % 5 == 0))
 
 
@@ -99,6 +99,7 @@ def event_indexes(spark: SparkSession, sf_dir: str, which: Column, how: Column,
     records = durable(forged(made.withColumn("_how", how), F.col("_how")).drop("_how", "_n"))
     none = F.lit(False)
     slugs = W.table(spark, sf_dir, "events").where("user_id is not null").select(F.concat(F.lit("i"), (F.col("user_id") % 7).cast("string")).alias("index_slug")).distinct()
+    slugs = durable(slugs)
     return M.Indexes(records, *heads(slugs, spark, none, none if absent is None else absent, none))
 
 
