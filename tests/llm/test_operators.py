@@ -126,6 +126,37 @@ def test_sharding(odd, docs):
     assert max(loads.values()) - min(loads.values()) < 0.02 * max(loads.values())
 
 
+@pytest.mark.parametrize("block,broadcast_rows", [(3, 0), (1 << 16, 200_000)])
+def test_sharding_packs_group_by_group(spark, monkeypatch, block, broadcast_rows):
+    """Many groups of few sizes, against a plain walk over groups by size and hash, with a capacity and with a number of shards."""
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(3)
+    texts = [f"{i:03d}" + "x" * rng.choice((0, 0, 1, 5, 17, 90)) for i in range(150)]
+    rows = [(i, rng.choice(texts)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = collections.Counter()
+    for _, t in rows:
+        sizes[t] += len(t) + 1
+    order = sorted(sizes, key=lambda t: (-sizes[t], hashlib.sha256(t.encode()).digest()))
+
+    def packed(capacity):
+        room, at = [], {}
+        for t in order:
+            fits = [i for i, r in enumerate(room) if r >= sizes[t]]
+            if not fits:
+                room.append(max(capacity, sizes[t]))
+            at[t] = min(fits, key=lambda i: (room[i], i)) if fits else len(room) - 1
+            room[at[t]] -= sizes[t]
+        return at, len(room)
+
+    want, _ = packed(700)
+    assert {r.doc_id: r.shard for r in sharding.pack_shards(df, capacity=700).collect()} == {i: want[t] for i, t in rows}
+    least = max(-(-sum(sizes.values()) // 7), max(sizes.values()))
+    want = next(at for at, n in (packed(least * (1024 + more) // 1024) for more in sharding.CAPACITIES) if n <= 7)
+    assert {r.doc_id: r.shard for r in sharding.pack_shards(df, 7).collect()} == {i: want[t] for i, t in rows}
+
+
 def test_mixing(odd, docs):
     for df in (odd, docs):
         got = mixing.mix(df).collect()

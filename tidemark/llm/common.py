@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructTy
 
 from tidemark.operators.places import remove, shared_folder
 
-__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "quoted", "remove", "row_key", "running", "shared_folder", "small_batches", "whole"]
+__all__ = ["durable", "gapless", "identity", "one_of_each", "partitions", "quoted", "remove", "row_key", "shared_folder", "small_batches", "whole"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -92,20 +92,3 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataF
     earlier = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
     return dealt.join(parts, [*keys, pid]).withColumn(out, (F.col(at) - F.col(first) + F.col(before)).cast("long")).drop(at, first, before, pid)
-
-
-def running(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
-    """Adds `out`: the sum of value over the rows that stand earlier in the given order.
-
-    The rows are dealt by range of the order and summed range by range; only a row for each
-    range goes into the prefix sums, and these rows, no more than there are ranges, are broadcast.
-    """
-    at, pid, within, before = "_at", "_pid", "_within", "_before"
-    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    dealt = durable(dealt.withColumn(at, F.monotonically_increasing_id())).withColumn(pid, F.shiftright(at, 33))
-    parts = dealt.groupBy(pid).agg(F.sum(value).alias(within))
-    earlier = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(pid, F.coalesce(F.sum(within).over(earlier), F.lit(0)).alias(before))
-    own = Window.partitionBy(pid).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    dealt = dealt.withColumn(within, F.sum(value).over(own) - F.col(value))
-    return dealt.join(F.broadcast(parts), pid).withColumn(out, F.col(before) + F.col(within)).drop(at, pid, within, before)

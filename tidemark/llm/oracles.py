@@ -11,7 +11,7 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-#: The same items, packed one by one into sixteen remaining capacities for each capacity that may be tried; CRC-32 by its table.
+#: Groups packed one by one into sixteen remaining capacities, for each capacity that may be tried; CRC-32 by its table.
 SHARDS = r"""
 WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS z),
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS g FROM documents),
@@ -19,11 +19,9 @@ h AS (SELECT g, any_value(hex(encode(coalesce(text, '')))) AS h FROM documents J
 y AS (SELECT g, list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)) AS y FROM h),
 x AS (SELECT g, xor(list_reduce(y, lambda c, k: xor(z[xor(c, k) % 256 + 1], c >> 8), 4294967295), 4294967295) AS crc FROM y, z),
 g AS (SELECT g, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY g),
-u AS (SELECT greatest(1, (CAST(sum(size) AS BIGINT) + 15) // 16 // 1024) AS unit, (CAST(sum(size) AS BIGINT) + 15) // 16 AS mean FROM g),
-i AS (SELECT g, size, CAST(sum(size) OVER (ORDER BY size, g ROWS UNBOUNDED PRECEDING) - size AS BIGINT) // unit AS item FROM g, u),
-s AS (SELECT item, CAST(sum(size) AS BIGINT) AS size FROM i GROUP BY item),
-o AS (SELECT item, size, row_number() OVER (ORDER BY size DESC, item) AS nth FROM s),
-c AS (SELECT more, greatest(mean, (SELECT max(size) FROM s)) * (1024 + more) // 1024 AS capacity FROM u, (SELECT unnest(list_concat(range(65), list_transform(range(1, 9), lambda k: 64 << k))) AS more)),
+u AS (SELECT (CAST(sum(size) AS BIGINT) + 15) // 16 AS mean, max(size) AS largest FROM g),
+o AS (SELECT g, size, row_number() OVER (ORDER BY size DESC, g) AS nth FROM g),
+c AS (SELECT more, greatest(mean, largest) * (1024 + more) // 1024 AS capacity FROM u, (SELECT unnest(list_concat(range(65), list_transform(range(1, 9), lambda k: 64 << k))) AS more)),
 b AS (
   SELECT more, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS shard, list_transform(range(16), lambda x: capacity) AS room FROM c
   UNION ALL
@@ -31,7 +29,7 @@ b AS (
   FROM (SELECT more, o.nth, o.size, room, list_position(room, list_min(list_filter(room, lambda x: x >= o.size))) AS p FROM b JOIN o ON o.nth = b.nth + 1)
   WHERE p IS NOT NULL AND p > 0
 ), f AS (SELECT min(more) AS more FROM b WHERE nth = (SELECT count(*) FROM o)),
-a AS (SELECT i.g, CAST(b.shard - 1 AS INT) AS shard FROM i JOIN o USING (item) JOIN b USING (nth) JOIN f USING (more))
+a AS (SELECT o.g, CAST(b.shard - 1 AS INT) AS shard FROM o JOIN b USING (nth) JOIN f USING (more))
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
 FROM d JOIN a USING (g) JOIN x USING (g)
 """

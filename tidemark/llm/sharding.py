@@ -5,9 +5,9 @@ remaining capacity that still holds it, found in a balanced tree of remaining ca
 Groups of one size are interchangeable, and the tightest shard stays the tightest while it
 holds more of that size, so the packing runs over a histogram of sizes.
 
-What is packed is bounded whatever the number of groups: groups stand in order of size, and those
-that start within the same 1/1024 of a shard's bytes are one item. Larger groups are items of
-their own, and an item of small ones is less than 1/512 of a shard.
+The driver holds a row for each distinct size, not for each group: different sizes add up to the
+bytes of the table, so B bytes have at most sqrt(2 B) of them. Which groups of a size go where is
+told by runs of their numbers, and groups find their run by a join.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, gapless, running, whole
+from tidemark.llm.common import durable, gapless, whole
 
-#: Items for each shard at most, so the driver packs that many times the number of shards.
-ITEMS_A_SHARD = 1024
+#: Runs are cut at multiples of this, so that a group meets only the runs near its number.
+BLOCK = 1 << 16
+#: Rows of the plan that are broadcast at most; a longer plan is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: 1024ths above the least thinkable capacity that are tried, in this order.
 CAPACITIES = (*range(65), *(64 << k for k in range(1, 9)))
 
@@ -105,6 +107,13 @@ def least_capacity(histogram: list[tuple[int, int]], n_bins: int) -> int:
     return least * n_bins
 
 
+def cut(plan: Iterable[tuple[int, int, int, int]]) -> Iterable[tuple[int, int, int, int, int]]:
+    """Rows (size, block, first, end, bin) for a plan's rows, one for each block of numbers that a row touches."""
+    for size, first, end, shard in plan:
+        for block in range(first // BLOCK, -(-end // BLOCK)):
+            yield size, block, max(first, block * BLOCK), min(end, (block + 1) * BLOCK), shard
+
+
 def pack_shards(df: DataFrame, n_shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals all rows to shards; rows with equal texts stay together.
 
@@ -126,18 +135,14 @@ def pack_shards(df: DataFrame, n_shards: int | None = 16, capacity: int | None =
             F.unhex(F.sha2(text, 256)).alias("_group"),
         )
     )
-    groups = durable(rows.groupBy("_group").agg(F.sum("size").alias("_size")))
-    total = groups.agg(F.sum("_size")).first()[0] or 0
-    unit = max(1, (capacity or -(-total // n_shards)) // ITEMS_A_SHARD)
-    groups = durable(running(groups, "_size", ["_size", "_group"], "_start").select("_group", "_size", F.floor(F.col("_start") / unit).alias("_item")))
-    items: dict[int, list[int]] = {}
-    for r in groups.groupBy("_item").agg(F.sum("_size").alias("size")).collect():
-        items.setdefault(r["size"], []).append(r["_item"])
-    histogram = [(size, len(same)) for size, same in items.items()]
+    groups = gapless(rows.groupBy("_group").agg(F.sum("size").alias("_size")), ["_size"], ["_group"], "_nth")
+    groups = durable(groups.withColumn("_block", F.floor(F.col("_nth") / BLOCK)))
+    histogram = sorted((r["_size"], r["count"]) for r in groups.groupBy("_size").count().toLocalIterator())
     if capacity is None:
         capacity = least_capacity(histogram, n_shards)
-    plan = [(item, shard) for size, first, end, shard in best_fit_decreasing(histogram, capacity) for item in sorted(items[size])[first:end]]
-    plan = df.sparkSession.createDataFrame(plan, "_item long, shard int")
-    dealt = groups.join(F.broadcast(plan), "_item").select("_group", "shard")
+    runs = list(cut(best_fit_decreasing(histogram, capacity)))
+    plan = df.sparkSession.createDataFrame(runs, "_size long, _block long, _first long, _end long, shard int")
+    plan = F.broadcast(plan) if len(runs) <= BROADCAST_ROWS else plan
+    dealt = groups.join(plan, ["_size", "_block"]).where("_nth >= _first AND _nth < _end").select("_group", "shard")
     placed = gapless(rows.join(dealt, "_group"), ["shard"], ["_group", "_id", "_row"], "slot")
     return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
