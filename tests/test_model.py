@@ -1,5 +1,7 @@
 """Rules that the tables can't show: hostile inputs, merge laws, signatures, gates, files."""
 
+import hashlib
+import random
 import sqlite3
 from decimal import Decimal
 from itertools import permutations
@@ -89,6 +91,36 @@ def test_hash_and_signature_vectors():
     assert not codec.verify(key, b"m", high)
 
 
+def test_signatures_by_the_plain_equation():
+    """verify_all against s B = R + k A by doubling and adding, over good, broken, non-canonical and small-order rows."""
+    rng, rows = random.Random(4), []
+    seeds = [rng.randbytes(32) for _ in range(4)]
+    for i in range(24):
+        seed, message = rng.choice(seeds), rng.randbytes(i)
+        key, sig = codec.public_key(seed), codec.sign(seed, message)
+        broken = bytearray(sig)
+        broken[rng.randrange(64)] ^= 1 << rng.randrange(8)
+        rows += [(key, message, sig), (key, message, bytes(broken)), (key, message + b"!", sig)]
+    key, message, sig = rows[0]
+    for odd in (*(n.to_bytes(32, "little") for n in (0, 1, codec.P - 1, codec.P, codec.P + 1, 2)), b"\xff" * 32, (1 | 1 << 255).to_bytes(32, "little")):
+        rows += [(odd, message, sig), (key, message, odd + sig[32:]), (key, message, odd + bytes(32))]
+    neutral = (1).to_bytes(32, "little")
+    k = int.from_bytes(hashlib.sha512(neutral + key + b"m").digest(), "little")
+    own = next(s for s in seeds if codec.public_key(s) == key)
+    rows.append((key, b"m", neutral + (k * codec._secret(own)[0] % codec.ORDER).to_bytes(32, "little")))  # holds, but R is of small order
+
+    def plain(key, message, sig):
+        a, r, s = codec._point(key), codec._point(sig[:32]), int.from_bytes(sig[32:], "little")
+        if a is None or r is None or s >= codec.ORDER or any(codec._times(8, p)[0] % codec.P == 0 for p in (a, r)):
+            return False
+        k = int.from_bytes(hashlib.sha512(sig[:32] + key + message).digest(), "little") % codec.ORDER
+        return codec._bytes(codec._times(s, codec.BASE)) == codec._bytes(codec._add(r, codec._times(k, a)))
+
+    want = [plain(*r) for r in rows]
+    nulls = [(None, b"", sig), (key, None, sig), (key, b"", None), (b"", b"", b"")]
+    assert sum(want) == 24 and codec.verify_all(*map(list, zip(*rows, *nulls, strict=True))) == want + [False] * 4
+
+
 def test_params():
     key = codec.public_key(ROOT)
     assert codec.params_parse(codec.params_encode(key, "default")) == (key, "default")

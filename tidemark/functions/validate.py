@@ -61,7 +61,7 @@ def wire_bytes(bodies):
 def signature_ok(keys, messages, sigs):
     import pandas as pd
 
-    return pd.Series([None not in (k, m, s) and codec.verify(bytes(k), bytes(m), bytes(s)) for k, m, s in zip(keys, messages, sigs, strict=True)], dtype=object)
+    return pd.Series(codec.verify_all(list(keys), list(messages), list(sigs)), dtype=object)
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
