@@ -4,7 +4,7 @@ import pytest
 
 from tests.cases import CASES
 from tests.oracle import differences
-from tidemark.plans import catalogue, discovery, signed  # noqa: F401  both register their queries
+from tidemark.plans import catalogue, discovery, shop, signed  # noqa: F401  all register their queries
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
