@@ -100,3 +100,12 @@ def test_a_refused_delta_is_set_aside(spark, tmp_path):
     assert kept == {"a": 1, "c": 1}
     assert sorted((r.subject_id, r.reason) for r in spark.read.parquet(refused).collect()) == [("a", "version"), ("b", "version")]
     assert spark.read.parquet(refused).select(F.count_distinct("batch")).first()[0] == 1
+
+
+def test_a_table_of_many_files_is_streamed(spark, sf_dir, tmp_path):
+    """A table may be one file or a folder of files; both give the winners of all its rows."""
+    from tidemark.plans import shop
+
+    spark.read.parquet(f"{sf_dir}/client_changes.parquet").repartition(3).write.parquet(str(tmp_path / "client_changes.parquet"))
+    found = [sorted(map(tuple, shop.stream_client_changes(spark, d).collect())) for d in (sf_dir, str(tmp_path))]
+    assert found[0] == found[1] and len(found[0]) > 100

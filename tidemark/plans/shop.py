@@ -77,9 +77,7 @@ def stream_client_changes(spark, sf_dir):
     """The clients' last states by a supervised stream that keeps winners in a state store and hands on changes only."""
     folder = f"{places.shared_folder(spark)}/clients_{uuid.uuid4().hex}"
     places.remove(spark, folder, at_exit=True)
-    schema = W.table(spark, sf_dir, "client_changes").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "client_changes.parquet").parquet(sf_dir)
-    rows = history(stream).select("client_id", "version", "is_tomb", "sig", "state")
+    rows = history(W.streamed(spark, sf_dir, "client_changes")).select("client_id", "version", "is_tomb", "sig", "state")
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: those of its folder, or the one file that it is, which a stream finds in the folder above."""
+    at = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return files.parquet(at)
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def subject(n: Column) -> Column:
     """Nine bytes in base58, in the order of the number."""
     return F.concat(F.lit("2"), F.translate(F.lpad(n.cast("string"), 11, "0"), "0123456789", "123456789A"))
