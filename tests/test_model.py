@@ -369,3 +369,10 @@ def test_content_regions():
     assert html.content_of(f"<main>short</main><div id=content>{long}</div>") == long.strip()
     assert html.content_of("<body><p>a</p><script>x</script>b</body>") == "a\nb" and html.content_of("<p>a</p>", strict=True) == ""
     assert html.Page('<a href="/x">y</a><a>z</a>').links == ["/x"]
+
+
+def test_references_without_a_semicolon_are_read():
+    """As a browser reads them, in a title that was cut as well as at the end of a page."""
+    long = "words " * 20
+    assert html.content_of(f"<article><h1>this &amp;&amp</h1>{long}</article>") == f"this &&\n{long.strip()}"
+    assert html.content_of("<body><p>R&ampD &copy") == "R&D ©"
