@@ -84,6 +84,16 @@ def test_a_phrase_starts_from_its_rarest_term(spark, tmp_path):
     assert any("doc#" in x and "term#" in x for x in joins)  # by term and document, not by term alone
 
 
+def test_changes_meet_their_texts_once(spark, sf_dir, monkeypatch):
+    """Texts are looked up once for all generations, and versions that lose don't carry any."""
+    from tidemark.plans import discovery
+
+    asked, plain = [], discovery.with_texts
+    monkeypatch.setattr(discovery, "with_texts", lambda spark, sf_dir, versions: asked.append(versions.columns) or plain(spark, sf_dir, versions))
+    assert discovery.index_deltas(spark, sf_dir).count() > 0
+    assert len(asked) == 1 and "text" not in asked[0]
+
+
 def test_vector_search(spark, sf_dir):
     """Recall of the probing search against the exact one; odd vectors take no part; many equal ones are many blocks."""
     from tidemark.plans import discovery

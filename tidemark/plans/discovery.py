@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tidemark.operators import keyword_index as K
 from tidemark.operators import merge
 from tidemark.operators import trust as T
 from tidemark.operators import vector_index as V
-from tidemark.operators.places import remove, shared_folder
+from tidemark.operators.places import durable, remove, shared_folder
 from tidemark.plans import views as W
 from tidemark.plans.registry import query
 
@@ -64,11 +65,10 @@ def phrase_search(spark, sf_dir):
     return K.phrases(texts_index(spark, sf_dir), asked)
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as versions of documents, each with the text of one of documents."""
+def with_texts(spark: SparkSession, sf_dir: str, versions: DataFrame) -> DataFrame:
+    """Versions of documents, each with the text of one of documents."""
     texts = W.table(spark, sf_dir, "documents").select("doc_id", "text")
-    v = W.records(spark, sf_dir).withColumnRenamed("user_id", "subject_id").withColumn("_text_of", F.col("subject_id") * 7 + F.col("version"))
-    return v.join(texts, F.col("_text_of") == F.col("doc_id"), "left").drop("_text_of", "doc_id")
+    return versions.join(texts, F.col("subject_id") * 7 + F.col("version") == F.col("doc_id"), "left").drop("doc_id")
 
 
 @query(f"""{W.RECORDS_SQL},
@@ -76,14 +76,20 @@ x AS (SELECT user_id AS doc, text FROM w LEFT JOIN documents ON doc_id = user_id
 SELECT term, count(DISTINCT doc) AS df, count(*) AS cf, CAST(sum(doc) AS BIGINT) AS docs, CAST(sum(place) AS BIGINT) AS places FROM t GROUP BY term
 """)
 def index_deltas(spark, sf_dir):
-    """The terms of an index that took four generations of events one after another, as deltas of what each changes."""
-    index, state = K.create(spark, scratch(spark, "deltas")), None
-    all_versions = versions(spark, sf_dir)
+    """The terms of an index that took four generations of events one after another, as deltas of what each changes.
+
+    A version names its text, so texts are looked up once, for what the generations changed only.
+    """
+    state, changes = None, []
+    versions = W.records(spark, sf_dir).withColumnRenamed("user_id", "subject_id")
     for generation in range(4):
-        rows = all_versions.where(F.col("generation") == generation)
-        before, state = state, merge.latest(rows if state is None else state.unionByName(rows))
-        changed = state if before is None else merge.delta_records(state, merge.summarize_records(before))
-        index = K.apply_delta(index, changed, "subject_id")
+        rows = versions.where(F.col("generation") == generation)
+        before, state = state, durable(merge.latest(rows if state is None else state.unionByName(rows)))
+        changes.append(state if before is None else merge.delta_records(state, merge.summarize_records(before)))
+    changed = durable(with_texts(spark, sf_dir, reduce(DataFrame.unionByName, changes)))
+    index = K.create(spark, scratch(spark, "deltas"))
+    for generation in range(4):  # what a generation changed are its own versions
+        index = K.apply_delta(index, changed.where(F.col("generation") == generation), "subject_id")
     return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("doc") * F.col("tf")).alias("docs"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, b: a + b)).alias("places"))
 
 
