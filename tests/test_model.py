@@ -371,6 +371,19 @@ def test_content_regions():
     assert html.Page('<a href="/x">y</a><a>z</a>').links == ["/x"]
 
 
+def test_frequent_keys_are_judged_as_rare_ones_are(monkeypatch):
+    """Many rows of one key, a few of another, forgeries in between; the first key's windows are wide, and seeds aren't reckoned anew for each row."""
+    often, rare = b"\1" * 32, b"\3" * 32
+    seeds = [rare if i % 90 == 0 else often for i in range(codec.OFTEN + 60)]
+    rows = [(codec.public_key(s), b"m%d" % i, codec.sign(s, b"m%d" % (i + (i % 7 == 0)))) for i, s in enumerate(seeds)]
+    made, plain = [], codec._windows
+    monkeypatch.setattr(codec, "_windows", lambda p, bits: made.append(bits) or plain(p, bits))
+    codec._wide_windows.cache_clear(), codec._key_windows.cache_clear()
+    got = codec.verify_all(*map(list, zip(*rows)))
+    assert got == [i % 7 != 0 for i in range(len(rows))] == [codec.verify(*r) for r in rows]
+    assert codec.WIDE in made and codec.NARROW in made
+
+
 def test_references_without_a_semicolon_are_read():
     """As a browser reads them, in a title that was cut as well as at the end of a page."""
     long = "words " * 20
