@@ -224,3 +224,17 @@ def test_freshness_and_novelty(spark):
     seen = spark.createDataFrame([("u", "a"), ("u", "a"), ("v", "b")], "user string, topic string")
     asked = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "a")], "user string, topic string")
     assert {(r.topic, r.novelty) for r in diversity.novelty(asked, seen, "user", "topic").collect()} == {("a", 1 / 3), ("b", 1.0)}
+
+
+def test_strengths_have_partitions_by_rows(spark, sf_dir, monkeypatch):
+    """More lines are more shuffle partitions while strengths are computed, and the session has its own again after."""
+    from tidemark.operators import places
+    from tidemark.plans import discovery
+
+    name = "spark.sql.shuffle.partitions"
+    before, during = spark.conf.get(name), []
+    monkeypatch.setattr(discovery.B, "strengths", lambda *a, **k: during.append(spark.conf.get(name)) or spark.createDataFrame([], "item long, wins long, met long, strength double"))
+    monkeypatch.setattr(discovery, "parts_for", lambda spark, rows: places.parts_for(spark, rows, 500))
+    discovery.supplier_strengths(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert during == [str(max(int(before), 1 + lines // 500))] and int(during[0]) > int(before) and spark.conf.get(name) == before

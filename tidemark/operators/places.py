@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of a table that a shuffle partition stands for.
+PART_ROWS = 500_000
+
+
+@contextmanager
+def parts_for(spark: SparkSession, rows: int, each: int = PART_ROWS) -> Iterator[None]:
+    """What is computed inside has at least a shuffle partition for so many rows, so that a task's share doesn't grow with the table."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), 1 + rows // each)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
     """Deletes a folder that is no longer read, now or as the driver ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

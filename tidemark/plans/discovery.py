@@ -15,7 +15,7 @@ from tidemark.operators import keyword_index as K
 from tidemark.operators import merge
 from tidemark.operators import trust as T
 from tidemark.operators import vector_index as V
-from tidemark.operators.places import durable, remove, shared_folder
+from tidemark.operators.places import durable, parts_for, remove, shared_folder
 from tidemark.plans import views as W
 from tidemark.plans.registry import query
 
@@ -146,12 +146,14 @@ def supplier_strengths(spark, sf_dir):
     from pyspark.sql import Window
 
     piece = F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4)
-    price = W.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(piece.alias("price"))
+    lines = W.table(spark, sf_dir, "lineitem")
+    price = lines.groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(piece.alias("price"))
     part = Window.partitionBy("part").orderBy("supplier")
     met = price.withColumns({"other": F.lead("supplier").over(part), "other_price": F.lead("price").over(part)}).where(F.col("price") != F.col("other_price"))
     first = F.col("price") < F.col("other_price")
     met = met.select(F.when(first, F.col("supplier")).otherwise(F.col("other")).alias("winner"), F.when(first, F.col("other")).otherwise(F.col("supplier")).alias("loser"))
-    found = B.strengths(met.groupBy("winner", "loser").agg(F.count("*").alias("n")), steps=STRENGTH_STEPS, tolerance=0.0)
+    with parts_for(spark, lines.count()):
+        found = B.strengths(met.groupBy("winner", "loser").agg(F.count("*").alias("n")), steps=STRENGTH_STEPS, tolerance=0.0)
     return found.select(F.col("item").alias("supplier"), "wins", "met", F.round("strength", 4).alias("strength"))
 
 
