@@ -188,6 +188,37 @@ def test_trust_is_the_matrixs(spark, part):
         trust.propagate(spark.createDataFrame(edges, "source string, target string, weight double"), spark.createDataFrame([], "node string, share double"))
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(e.totalShuffleWrite() for e in (lambda found: (found.apply(i) for i in range(found.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_trust_moves_no_edges_in_a_step(spark):
+    """Edges are dealt once: what further steps shuffle is trust of nodes, less than a byte for each edge and step."""
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(40_000)})
+    edges, seeds = spark.createDataFrame([(a, b, 1.0 + a % 3) for a, b in pairs], "source long, target long, weight double"), spark.createDataFrame([(7, 1.0)], "node long, share double")
+    took = []
+    for steps in (1, 5):
+        before = shuffled(spark)
+        trust.propagate(edges, seeds, steps, tolerance=0.0)
+        took.append(shuffled(spark) - before)
+    assert took[1] - took[0] < 4 * len(pairs)
+
+
+def test_trust_is_the_same_by_any_blocks(spark):
+    """However many blocks nodes are in and rows a block's edges; settings of the session are left as they were; without edges all stays with the seeds."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(30, 60), rng.random()) for _ in range(400)] + [(3, n, 1.0) for n in range(60)], "source long, target long, weight double")
+    seeds, names = spark.createDataFrame([(n, 1.0) for n in range(0, 70, 9)], "node long, share double"), ["spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    found = [{r.node: r.trust for r in trust.propagate(edges, seeds, 4, tolerance=0.0, **how).collect()} for how in ({}, {"block": 7, "part": 11})]
+    assert found[0] == pytest.approx(found[1], abs=1e-12) and sum(found[0].values()) == pytest.approx(1)
+    assert [spark.conf.get(n) for n in names] == before
+    assert {r.node: r.trust for r in trust.propagate(edges.limit(0), seeds, 2).collect()} == pytest.approx({n: 1 / 8 for n in range(0, 70, 9)})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10_000), max_size=60))
 def test_there_is_always_a_place_between(cuts):

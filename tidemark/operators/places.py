@@ -29,16 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
 PART_ROWS = 500_000
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What is computed inside has these settings of the session."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @contextmanager
 def parts_for(spark: SparkSession, rows: int, each: int = PART_ROWS) -> Iterator[None]:
     """What is computed inside has at least a shuffle partition for so many rows, so that a task's share doesn't grow with the table."""
     name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(before), 1 + rows // each)))
-    try:
+    with settings(spark, {name: str(max(int(spark.conf.get(name)), 1 + rows // each))}):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
